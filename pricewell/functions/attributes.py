@@ -7,6 +7,7 @@ sheet names and buyer queries.
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, functions as F
@@ -16,7 +17,7 @@ from . import vocab as V
 from .lines import rx
 from .money import extract_price
 from .text import (
-    _c, clean_spaces, clean_text, consume, flags_of, fold_confusables, lit_array, norm_key, null_if_empty, strip_flags,
+    _c, clean_spaces, clean_text, consume, flags_of, fold_confusables, lit_array, lit_map, norm_key, null_if_empty, strip_flags,
     tokens,
 )
 
@@ -34,7 +35,7 @@ def _group(col, pattern: str, idx: int = 1) -> Column:
 def category_key(col) -> Column:
     """One key for every spelling of a category; unknown ones stay as they are."""
     low = F.lower(F.trim(_c(col)))
-    mapping = F.create_map(*[F.lit(x) for kv in V.CATEGORY_KEYS.items() for x in kv])
+    mapping = lit_map(V.CATEGORY_KEYS)
     return F.coalesce(F.try_element_at(mapping, low), null_if_empty(low))
 
 
@@ -182,15 +183,14 @@ def colors_of(col, limit: int = 5, phrases: tuple | None = None) -> Column:
     longest_first = sorted(table, key=len, reverse=True)
     alternation = "|".join(k.replace(" ", sep) for k in longest_first)
     pattern = r"(?iu)(?<![\p{L}\p{N}_])(?=((?:" + alternation + r")(?![\p{L}\p{N}_])))"
-    entries = []
+    entries = {}
     for key in longest_first:
         words = key.split(" ")
-        prefixes = [" ".join(words[:n]) for n in range(len(words), 0, -1)]
-        hits = [table[p] for p in prefixes if p in table]
-        entries += [
-            F.lit(key), F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(c).alias("color")) for r, c in hits])
-        ]
-    lookup = F.create_map(*entries)
+        hits = [table[p] for n in range(len(words), 0, -1) if (p := " ".join(words[:n])) in table]
+        entries[key] = [{"rank": rank, "color": color} for rank, color in hits]
+    lookup = F.from_json(
+        F.lit(json.dumps(entries, ensure_ascii=False)), "map<string,array<struct<rank:int,color:string>>>"
+    )
     found = F.regexp_extract_all(clean_text(col), F.lit(pattern), F.lit(1))
     keys = F.transform(found, lambda m: F.regexp_replace(F.lower(m), sep, " "))
     ranked = F.array_sort(F.flatten(F.transform(keys, lambda k: F.try_element_at(lookup, k))))
@@ -210,8 +210,8 @@ def canon_color(col) -> Column:
     """Lower-case colour family name used to compare colours."""
     low = clean_spaces(F.translate(F.lower(F.trim(_c(col))), "-", " "))
     synonyms = {k.lower(): v.lower() for k, v in default_color_phrases() if k.lower() != v.lower()}
-    syn = F.create_map(*[F.lit(x) for kv in synonyms.items() for x in kv])
-    canon = F.create_map(*[F.lit(x) for kv in V.COLOR_CANON.items() for x in kv])
+    syn = lit_map(synonyms)
+    canon = lit_map(V.COLOR_CANON)
     base = F.coalesce(F.try_element_at(syn, low), low)
     return F.coalesce(F.try_element_at(canon, base), base)
 
@@ -222,7 +222,7 @@ def color_families(colors: Column) -> Column:
     for family, words in V.COLOR_FAMILIES.items():
         for w in words:
             member.setdefault(w, []).append(family)
-    lookup = F.create_map(*[x for w, fs in member.items() for x in (F.lit(w), lit_array(fs))])
+    lookup = F.from_json(F.lit(json.dumps(member)), "map<string,array<string>>")
     return F.array_distinct(F.flatten(F.transform(colors, lambda c: F.coalesce(
         F.try_element_at(lookup, c), F.array().cast("array<string>")))))
 
@@ -231,7 +231,7 @@ def color_families(colors: Column) -> Column:
 def region_of(col) -> Column:
     """First mapped flag, else the first country whose code is a token of the line."""
     raw = _c(col)
-    flag_map = F.create_map(*[F.lit(x) for kv in V.FLAG_REGION.items() for x in kv])
+    flag_map = lit_map(V.FLAG_REGION)
     by_flag = F.try_element_at(
         F.filter(F.transform(flags_of(raw), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
     )
@@ -245,7 +245,7 @@ def regions_to_flags(codes: Column) -> Column:
     back = {}
     for flag, code in V.FLAG_REGION.items():
         back.setdefault(code, flag)
-    lookup = F.create_map(*[F.lit(x) for kv in back.items() for x in kv])
+    lookup = lit_map(back)
     return F.array_join(F.filter(F.transform(codes, lambda c: F.try_element_at(lookup, c)), lambda f: f.isNotNull()), "")
 
 

@@ -21,8 +21,17 @@ def _c(col) -> Column:
 
 
 def lit_array(values) -> Column:
-    """A constant array column."""
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array column; one foldable literal however long the list is."""
+    values = list(values)
+    kind = "int" if isinstance(values[0], int) else "string"
+    return F.split(F.lit("\u0001".join(str(v) for v in values)), "\u0001").cast(f"array<{kind}>")
+
+
+def lit_map(pairs: dict) -> Column:
+    """A constant string map, also one foldable literal."""
+    return F.str_to_map(
+        F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in pairs.items())), F.lit("\u0001"), F.lit("\u0002")
+    )
 
 
 def null_if_empty(col) -> Column:

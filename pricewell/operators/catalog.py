@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import attributes as A, vocab as V
 from ..functions.lines import rx
-from ..functions.text import alias_key, clean_spaces, lit_array, norm_key, null_if_empty, starts_with_tokens
+from ..functions.text import alias_key, clean_spaces, lit_array, lit_map, norm_key, null_if_empty, starts_with_tokens
 
 PATH = ["cat", "brand", "series", "model"]
 POSITIONS = ["cat_pos", "brand_pos", "series_pos", "model_pos"]
@@ -359,7 +359,7 @@ def normalize_access(users: DataFrame, defaults: dict[str, dict[str, bool]], leg
         x for role, d in defaults.items()
         for x in (F.lit(role), F.create_map(*[F.lit(y) for kv in d.items() for y in kv]))
     ])
-    names = F.create_map(*[F.lit(x) for kv in legacy.items() for x in kv])
+    names = lit_map(legacy)
     stored = F.transform_keys("access", lambda k, v: F.coalesce(F.try_element_at(names, k), k))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<boolean>"))
     base = F.map_filter(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import attributes as A, patterns as P, vocab as V
 from ..functions.lines import rx
 from ..functions.text import (
-    clean_spaces, clean_text, lit_array, match_tokens, norm_key, strip_flags, title_head, tokens,
+    clean_spaces, clean_text, lit_array, lit_map, match_tokens, norm_key, strip_flags, title_head, tokens,
 )
 
 MAX_NGRAM, MAX_TITLE_NGRAM = 8, 12
@@ -180,14 +180,11 @@ def title_mode(text: Column) -> Column:
     return ~rx(text, P.TITLE_MODE_EXCLUDED) & (rx(text, P.TITLE_MODE_MM) | rx(text, P.TITLE_MODE))
 
 
-_ENTRY = "struct<strategy:int,rule:int,exact:boolean,title:boolean,toks:array<string>>"
-
-
 def _entry(strategy: int, rule: int, exact: bool, title: bool, toks: Column) -> Column:
     return F.struct(
         F.lit(strategy).alias("strategy"), F.lit(rule).alias("rule"), F.lit(exact).alias("exact"),
         F.lit(title).alias("title"), toks.alias("toks"),
-    ).cast(_ENTRY)
+    )
 
 
 def _prepare(p: str, memory: bool) -> dict[str, Column]:
@@ -426,7 +423,7 @@ def header_brand(header: Column) -> Column:
     """Brand named by a header line."""
     toks = tokens(strip_flags(clean_spaces(header)))
     known = {w: b for b, ws in V.HEADER_BRANDS.items() for w in ws}
-    names = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    names = lit_map(known)
     return F.try_element_at(F.filter(F.transform(toks, lambda t: F.try_element_at(names, t)), lambda b: b.isNotNull()), F.lit(1))
 
 
