@@ -82,9 +82,10 @@ def starts_example(col) -> Column:
     return rx(col, P.EXAMPLE_START) & ~has_price(col)
 
 
-def delete_reason(col) -> Column:
+def delete_reason(col, priced: Column | None = None) -> Column:
     """First reason a line is dropped for, NULL when it is a price line."""
     c = _c(col)
+    priced = has_price(c) if priced is None else priced
     enum = rx(c, P.ENUM_PREFIX)
     span = rx(c, P.RANGE_PREFIX)
     tail = rx(c, P.NOT_PRICE_TAIL)
@@ -94,8 +95,8 @@ def delete_reason(col) -> Column:
         .when(rx(c, P.DEFECT), "defective_or_used")
         .when(rx(c, P.INFO), "info_line")
         .when((enum & (span | tail)) | (span & tail), "not_a_price_range")
-        .when(rx(c, P.TIER_LINE) & has_price(c), "wholesale_tier")
-        .when(~has_price(c), "no_price")
+        .when(priced & rx(c, P.TIER_LINE), "wholesale_tier")
+        .when(~priced, "no_price")
     )
 
 

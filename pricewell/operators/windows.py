@@ -31,7 +31,11 @@ def top_n(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, order: str, width: float) -> DataFrame:
-    return df.withColumn("_b", F.floor(F.col(order).cast("double") / width))
+    """``order`` is a number, or a time and then ``width`` means seconds."""
+    col = F.col(order)
+    if dict(df.dtypes)[order].startswith("timestamp"):
+        col = F.unix_micros(col.cast("timestamp")) / 1000000
+    return df.withColumn("_b", F.floor(col.cast("double") / width))
 
 
 def carry_forward(df: DataFrame, col: str, keys: list[str], order: str, width: float, out: str,
