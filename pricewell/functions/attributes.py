@@ -517,7 +517,7 @@ def no_watches_flag(col) -> Column:
 def serial_of(col) -> Column:
     """Keyed serial, keyed IMEI, a long number, else a mixed code; first line wins in each class."""
     upper = F.transform(
-        F.filter(F.transform(F.split(_c(col), P.LINE_BREAK), F.trim), lambda s: s != ""), lambda s: F.upper(s)
+        F.filter(F.transform(F.split(_c(col), P.LINE_BREAK), lambda s: F.trim(s)), lambda s: s != ""), lambda s: F.upper(s)
     )
     n = F.size(upper)
     codes = lambda s: F.regexp_extract_all(s, F.lit("[A-Z0-9]{8,20}"), F.lit(0))

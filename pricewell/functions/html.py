@@ -113,7 +113,7 @@ def ldjson_price(html: Column) -> Column:
     bodies = F.regexp_extract_all(
         html, F.lit(r"(?is)<script\b[^>]*type\s*=\s*[\"']application/ld\+json[\"'][^>]*>(.*?)</script>"), F.lit(1)
     )
-    valid = F.filter(F.transform(bodies, F.trim), lambda b: F.try_parse_json(b).isNotNull())
+    valid = F.filter(F.transform(bodies, lambda s: F.trim(s)), lambda b: F.try_parse_json(b).isNotNull())
 
     def nodes(block):
         top = F.coalesce(_json_items(block), F.array().cast("array<string>"))

@@ -31,7 +31,7 @@ def children(catalog: DataFrame, path: list[str]) -> DataFrame:
 def variant_line(title: str = "title", price: str = "min_price", channels: str = "best_channels", regions: str | None = "region_min"):
     """``flag title — price ₽ (channels)``; ``title — —`` without a price."""
     named = with_region_prefix(title, regions) if regions else F.col(title)
-    who = F.array_join(F.filter(F.transform(F.col(channels), F.trim), lambda c: c != ""), ", ")
+    who = F.array_join(F.filter(F.transform(F.col(channels), lambda s: F.trim(s)), lambda c: c != ""), ", ")
     return F.when(F.col(price).isNull(), F.concat(F.col(title), F.lit(" — —"))).otherwise(
         F.concat(named, F.lit(" — "), fmt_price(price), F.lit(" ₽"),
                  F.when(who != "", F.concat(F.lit(" ("), who, F.lit(")"))).otherwise(F.lit("")))

@@ -105,7 +105,7 @@ def read_channel_config(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     rows = raw.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("channel_id", "_paths"))
     rows = rows.select("channel_id", F.explode("_paths").alias("_p"))
-    parts = F.filter(F.transform(F.split("_p", r"\|"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("_p", r"\|"), lambda s: F.trim(s)), lambda s: s != "")
     return rows.select("channel_id", parts.alias("spec_path")).filter(F.size("spec_path") > 0)
 
 
