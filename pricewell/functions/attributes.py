@@ -17,7 +17,7 @@ from . import vocab as V
 from .lines import rx
 from .money import extract_price
 from .text import (
-    _c, clean_spaces, clean_text, consume, flags_of, fold_confusables, lit_array, lit_map, norm_key, null_if_empty, strip_flags,
+    _c, clean_spaces, clean_text, consume, flags_of, fold_confusables, let, lit_array, lit_map, norm_key, null_if_empty, strip_flags,
     tokens,
 )
 
@@ -48,98 +48,93 @@ def storage_ram(col) -> Column:
     A bare RAM number counts beside storage only inside brackets, so a model
     generation is not taken for RAM.
     """
-    s = clean_text(col)
+    return let(clean_text(col), lambda s: let(_memory_parts(s), lambda m: F.struct(
+        m["storage"].alias("storage"),
+        F.when(m["slash"].isNotNull(), m["slash_ram"]).otherwise(
+            F.coalesce(m["ram"], F.when(m["storage"].isNotNull(), _bracket_ram(s)))
+        ).alias("ram"),
+    )))
+
+
+def _slash_best(s: Column) -> Column:
+    """struct(has_ram, has_unit, size, storage, ram) of the best ``8/256`` form, NULL if none."""
     ram_ok, gb_ok = lit_array(V.RAM_SIZES), lit_array(V.STORAGE_SIZES_GB)
 
-    def slash(found: Column) -> Column:
-        def parse(m):
-            a = F.regexp_extract(m, r"^(\d+)", 1).cast("int")
-            b = F.regexp_extract(m, r"/\s*(\d+)", 1).cast("int")
-            tb = rx(m, "(?iu)(tb|тб)$")
-            unit = rx(m, "(?iu)[a-zа-я]$")
-            has_ram = F.array_contains(ram_ok, a)
-            return F.struct(
-                has_ram.cast("int").alias("has_ram"),
-                unit.cast("int").alias("has_unit"),
-                b.alias("size"),
-                F.when(tb, F.concat(b.cast("string"), F.lit("TB")))
-                .when(F.array_contains(gb_ok, b), F.concat(b.cast("string"), F.lit("GB")))
-                .alias("storage"),
-                F.when(has_ram, a).alias("ram"),
-            )
-
-        return F.array_max(F.filter(F.transform(found, parse), lambda x: x["storage"].isNotNull()))
-
-    best = slash(
-        F.concat(
-            F.regexp_extract_all(s, F.lit(P.MEM_SLASH_BARE), F.lit(0)), F.regexp_extract_all(s, F.lit(P.MEM_SLASH), F.lit(0))
-        )
+    def parse(m):
+        a = F.regexp_extract(m, r"^(\d+)", 1).cast("int")
+        b = F.regexp_extract(m, r"/\s*(\d+)", 1).cast("int")
+        return let(F.struct(a.alias("a"), b.alias("b"), F.lower(F.regexp_extract(m, r"(?iu)([a-zа-я]+)$", 1)).alias("u")), lambda x: F.struct(
+            F.array_contains(ram_ok, x["a"]).cast("int").alias("has_ram"),
+            (x["u"] != "").cast("int").alias("has_unit"),
+            x["b"].alias("size"),
+            F.when(x["u"].isin("tb", "тб"), F.concat(x["b"].cast("string"), F.lit("TB")))
+            .when(F.array_contains(gb_ok, x["b"]), F.concat(x["b"].cast("string"), F.lit("GB"))).alias("storage"),
+            F.when(F.array_contains(ram_ok, x["a"]), x["a"]).alias("ram"),
+        ))
+
+    found = F.concat(
+        F.regexp_extract_all(s, F.lit(P.MEM_SLASH_BARE), F.lit(0)), F.regexp_extract_all(s, F.lit(P.MEM_SLASH), F.lit(0))
     )
+    best = F.array_max(F.filter(F.transform(found, lambda m: parse(m)), lambda x: x["storage"].isNotNull()))
+    return F.when(F.contains(s, F.lit("/")), best)
 
-    explicit = F.filter(
-        F.transform(
-            F.regexp_extract_all(s, F.lit(P.MEM_EXPLICIT), F.lit(0)),
-            lambda m: F.struct(
-                F.regexp_extract(m, r"^(\d+)", 1).cast("int").alias("n"),
-                rx(m, "(?iu)(tb|тб)$").alias("tb"),
-                # 4G and 5G are networks
-                rx(m, "(?i)^[45]g$").alias("net"),
-            ),
+
+def _explicit_sizes(s: Column) -> Column:
+    """array<struct(n, tb)> of sizes with a unit; 4G and 5G are networks."""
+    return F.transform(
+        F.filter(
+            F.regexp_extract_all(s, F.lit(P.MEM_EXPLICIT), F.lit(0)), lambda m: ~rx(m, "(?i)^[45]g$")
         ),
-        lambda x: ~x["net"],
-    )
-    sized = F.filter(explicit, lambda x: x["tb"] | F.array_contains(gb_ok, x["n"]))
-    top = F.array_max(
-        F.transform(
-            sized,
-            lambda x: F.struct(
-                F.when(x["tb"], x["n"] * 1024).otherwise(x["n"]).alias("gb"),
-                F.concat(x["n"].cast("string"), F.when(x["tb"], F.lit("TB")).otherwise(F.lit("GB"))).alias("storage"),
-            ),
-        )
-    )
-    other = F.array_min(
-        F.transform(
-            F.filter(
-                explicit, lambda x: ~x["tb"] & F.array_contains(ram_ok, x["n"]) & ~F.array_contains(gb_ok, x["n"])
-            ),
-            lambda x: x["n"],
-        )
+        lambda m: F.struct(F.regexp_extract(m, r"^(\d+)", 1).cast("int").alias("n"), rx(m, "(?iu)(tb|тб)$").alias("tb")),
     )
-    ram_explicit = F.when(F.size(explicit) >= 2, other)
-    in_brackets = F.regexp_extract(s, r"\(([^)]*)\)", 1)
-    ram_bare = F.array_min(
-        F.filter(
-            F.transform(
-                F.regexp_extract_all(in_brackets, F.lit(r"(?<![\p{L}\p{N}])(\d{1,3})(?![\p{L}\p{N}])(?!\s*(?:gb|tb|sim|esim))"), F.lit(1)),
-                lambda t: t.cast("int"),
+
+
+def _memory_parts(s: Column) -> Column:
+    """struct(storage, slash, slash_ram, ram) of a clean text."""
+    ram_ok, gb_ok = lit_array(V.RAM_SIZES), lit_array(V.STORAGE_SIZES_GB)
+
+    def parts(x):
+        best, explicit = x["best"], x["explicit"]
+        top = F.array_max(F.transform(
+            F.filter(explicit, lambda e: e["tb"] | F.array_contains(gb_ok, e["n"])),
+            lambda e: F.struct(
+                F.when(e["tb"], e["n"] * 1024).otherwise(e["n"]).alias("gb"),
+                F.concat(e["n"].cast("string"), F.when(e["tb"], F.lit("TB")).otherwise(F.lit("GB"))).alias("storage"),
             ),
-            lambda n: (n >= 4) & F.array_contains(ram_ok, n) & ~F.array_contains(gb_ok, n),
+        ))
+        other = F.array_min(F.transform(
+            F.filter(explicit, lambda e: ~e["tb"] & F.array_contains(ram_ok, e["n"]) & ~F.array_contains(gb_ok, e["n"])),
+            lambda e: e["n"],
+        ))
+        bare = F.concat(_group(s, P.MEM_BARE), F.lit("GB"))
+        storage = F.coalesce(best["storage"], top["storage"], F.when(F.size(explicit) == 0, bare))
+        return F.struct(
+            let(storage, canon_storage).alias("storage"), best["storage"].alias("slash"), best["ram"].alias("slash_ram"),
+            F.when(F.size(explicit) >= 2, other).alias("ram"),
         )
+
+    return let(F.struct(_slash_best(s).alias("best"), _explicit_sizes(s).alias("explicit")), parts)
+
+
+def _bracket_ram(s: Column) -> Column:
+    """A plausible RAM number without unit inside brackets."""
+    ram_ok, gb_ok = lit_array(V.RAM_SIZES), lit_array(V.STORAGE_SIZES_GB)
+    inside = F.regexp_extract(s, r"\(([^)]*)\)", 1)
+    numbers = F.regexp_extract_all(
+        inside, F.lit(r"(?<![\p{L}\p{N}])(\d{1,3})(?![\p{L}\p{N}])(?!\s*(?:gb|tb|sim|esim))"), F.lit(1)
     )
-    bare = _group(s, P.MEM_BARE)
-    storage = F.coalesce(
-        best["storage"], top["storage"], F.when(F.size(explicit) == 0, F.concat(bare, F.lit("GB")))
-    )
-    ram = F.when(best["storage"].isNotNull(), best["ram"]).otherwise(
-        F.coalesce(ram_explicit, F.when(storage.isNotNull(), ram_bare))
-    )
-    return F.struct(canon_storage(storage).alias("storage"), ram.alias("ram"))
+    return F.array_min(F.filter(
+        F.transform(numbers, lambda t: t.cast("int")),
+        lambda n: (n >= 4) & F.array_contains(ram_ok, n) & ~F.array_contains(gb_ok, n),
+    ))
 
 
 def canon_storage(col) -> Column:
     """``1024GB`` and ``1TB`` are the same size."""
-    s = F.upper(F.trim(_c(col)))
-    gb = F.regexp_extract(s, r"^(\d+)\s*GB$", 1).try_cast("int")
-    tb = F.regexp_extract(s, r"^(\d+)\s*TB$", 1).try_cast("int")
-    return _ordered(
-        [
-            (tb.isNotNull(), F.concat(tb.cast("string"), F.lit("TB"))),
-            ((gb > 0) & (gb % 1024 == 0), F.concat((gb / 1024).cast("int").cast("string"), F.lit("TB"))),
-            (gb.isNotNull(), F.concat(gb.cast("string"), F.lit("GB"))),
-        ],
-        _c(col),
-    )
+    s = F.regexp_replace(F.upper(F.trim(_c(col))), r"^0*(\d+)\s*(GB|TB)$", "$1$2")
+    for gb, tb in ((1024, 1), (2048, 2)):
+        s = F.when(s == f"{gb}GB", F.lit(f"{tb}TB")).otherwise(s)
+    return s
 
 
 # ------------------------------------------------------------------- colours

@@ -34,6 +34,11 @@ def lit_map(pairs: dict) -> Column:
     )
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` mentions it."""
+    return F.transform(F.array(value), lambda x: fn(x)).getItem(0)
+
+
 def null_if_empty(col) -> Column:
     """Absent values have one form: NULL."""
     return F.nullif(F.trim(_c(col)), F.lit(""))
@@ -215,10 +220,7 @@ def match_tokens(col) -> Column:
     The trailing currency and one trailing price go, glued family+number tokens
     are split, years and SKU-like tokens go.
     """
-    raw = _c(col)
-    plus = F.when(F.contains(raw, F.lit("+")), F.regexp_replace(clean_text(raw), r"\+", " plus ")).otherwise(
-        clean_text(raw)
-    )
+    plus = F.regexp_replace(clean_text(col), r"\+", " plus ")
     key = F.regexp_replace(norm_key(plus), r"( (rub|rur|руб|р|pyb))+$", "")
     # a trailing price, but not a year
     key = F.regexp_replace(key, r"(?:^| )(?!20\d{2}$)([1-9]\d{3,5}|1000000)$", "")
@@ -251,7 +253,10 @@ def looks_like_sku(tok) -> Column:
 
 def title_head(col) -> Column:
     """What stands before the price of an accessory line, as a normal key."""
-    segs = F.split(clean_spaces(col), r"\s+[—–-]\s+")
+    return let(F.split(clean_spaces(col), r"\s+[—–-]\s+"), _title_head)
+
+
+def _title_head(segs: Column) -> Column:
     last = F.translate(F.element_at(segs, -1), " _,.", "")
     priced = F.rlike(last, F.lit(r"^\d+$")) & F.coalesce(
         F.try_to_number(last, F.lit("999999999999")).between(1000, 1000000), F.lit(False)

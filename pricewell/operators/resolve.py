@@ -14,6 +14,7 @@ from ..functions.lines import rx
 from ..functions.text import (
     clean_spaces, clean_text, lit_array, lit_map, match_tokens, norm_key, strip_flags, title_head, tokens,
 )
+from ..session import cut_lineage
 
 MAX_NGRAM, MAX_TITLE_NGRAM = 8, 12
 
@@ -332,6 +333,11 @@ def _rank() -> Column:
 _MODEL_COLS = ["model_id", "cat", "brand", "series", "model", "canonical"]
 
 
+def _spread(texts: DataFrame) -> DataFrame:
+    """Texts are few bytes but much work each: keep all shuffle partitions, which coalescing would merge."""
+    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _winners(cand: DataFrame, text: str) -> DataFrame:
     picked = cand.select(
         text, _rank().alias("_rank"), F.struct("strategy", "rule", "n", "pos", "alias_key", *_MODEL_COLS).alias("_m")
@@ -377,14 +383,15 @@ def resolve_texts(texts: DataFrame, alias_index: DataFrame, code_index: DataFram
     otherwise prunes the phrases with a runtime filter before the shuffle join.
     """
     best = lambda df: df.groupBy(text).agg(F.min_by("_m", "_rank").alias("_m")).select(text, "_m.*")
-    distinct = texts.select(text).distinct()
+    distinct = _spread(texts.select(text).distinct())
     first = _stage(distinct, alias_index, text, "first")
     if code_index is not None:
         first = first.unionByName(_by_code(distinct, code_index, text))
-    first = best(first)
     if not shorthand:
-        return first
-    open_ = distinct.join(first.select(text), text, "left_anti")
+        return best(first)
+    # read twice below; a reliable copy is cheaper than resolving again
+    first = cut_lineage(best(first))
+    open_ = _spread(distinct.join(first.select(text), text, "left_anti"))
     return first.unionByName(best(_stage(open_, alias_index, text, "second")))
 
 
@@ -434,7 +441,7 @@ def resolve_with_header(lines: DataFrame, alias_index: DataFrame, code_index: Da
     A match whose brand contradicts the header's brand is void.  Both passes work
     on distinct (line, header) pairs, so copies cost nothing.
     """
-    pairs = lines.select(text, header).distinct()
+    pairs = _spread(lines.select(text, header).distinct())
     first = pairs.join(resolve_texts(pairs, alias_index, code_index, text), text, "left")
     conflict = (header_brand(F.col(header)) != norm_key("brand"))
     ok = F.col("model_id").isNotNull() & ~F.coalesce(conflict, F.lit(False))

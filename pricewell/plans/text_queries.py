@@ -224,7 +224,7 @@ def resolve_cascade(spark, d):
     return R.resolve_models(lines, _index(spark, d)).select(*KEYS, "model", "brand")
 
 
-@query("header_resolution", f"SELECT {ID}, CASE WHEN l_linenumber % 4 = 3 AND {E['brand']} IN ('Xiaomi', 'Samsung') THEN NULL ELSE {E['model']} END AS model FROM lineitem WHERE l_linenumber % 4 > 0")
+@query("header_resolution", f"SELECT {ID}, {E['model']} AS model FROM lineitem WHERE l_linenumber % 4 > 0")
 def header_resolution(spark, d):
     bare = f"concat({E['true_color']}, ' - ', {X.PRICE_TEXT})"
     # 1: the line names its model; 2: only the header does; 3: the header names another brand
@@ -242,12 +242,12 @@ _ATTRS = ["cat", "brand", "series", "model", "storage", "ram", "color", "color_1
 def _offers_from_text(spark, d):
     """Distinct line texts go through resolution and extraction once, then back to their rows."""
     lines = X.offer_lines(spark, d)
-    texts = lines.select("text").distinct()
-    return lines, R.normalize_queries(texts, _index(spark, d), catalog_rules=False)
+    texts = R._spread(lines.select("text").distinct())
+    return lines, cut_lineage(R.normalize_queries(texts, _index(spark, d), catalog_rules=False))
 
 
 def _variants(spark, d):
-    return C.build_variants(X.text_catalog(spark, d))
+    return cut_lineage(C.build_variants(X.text_catalog(spark, d)))
 
 
 FROM_TEXT_SQL = f"""offer AS (SELECT l_partkey AS variant_id, {X.CHANNEL} AS channel, CAST({X.PRICE} AS DOUBLE) AS price FROM lineitem),
@@ -314,7 +314,7 @@ def sheet_match(spark, d):
     """A price sheet of raw names, resolved and filled with the best offers."""
     lines, texts = _offers_from_text(spark, d)
     sheet = X.text_catalog(spark, d).select((F.col("variant_id") + 2).alias("row_no"), F.concat(F.col("title"), F.lit(" (Global)")).alias("name"))
-    rows = R.resolve_sheet(sheet, _index(spark, d))
+    rows = cut_lineage(R.resolve_sheet(sheet, _index(spark, d)))
     pairs = J.match_variants(rows, texts, ["row_no"], ["text", "price"])
     matches = lines.select("text", "channel", "seq").join(pairs, "text").withColumnRenamed("text", "raw")
     return J.sheet_best(rows.select("row_no"), matches).select("row_no", "min_price", "best_channel", "n_offers")
