@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
+from ..session import prefer_small_methods, spread
 
 VARIANTS_PER_MODEL = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prefer_small_methods(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -344,7 +344,7 @@ def best_offer_for_query(spark, d):
     return out.select("k", "want", F.col("offer.price").alias("price"), "reason")
 
 
-@query("top_reason", "SELECT l_shipmode_ AS k, arg_min(r, (-n, r)) AS reason, max(n) AS n FROM (SELECT l_suppkey AS l_shipmode_, l_returnflag AS r, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+@query("top_reason", "SELECT k, arg_min(r, (-n, r)) AS reason, max(n) AS n FROM (SELECT l_suppkey AS k, l_returnflag AS r, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
 def top_reason(spark, d):
     a = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("reason"))
     return J.top_reason(a, ["k"])

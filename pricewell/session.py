@@ -57,3 +57,8 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def prefer_small_methods(spark: SparkSession) -> None:
+    """The JVM leaves methods over 8000 bytes uncompiled; such stages run as split projections instead."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
