@@ -17,8 +17,8 @@ from .registry import query
 E = X.catalog_exprs("l_partkey")
 ID = f"{X.CHANNEL} AS channel, l_orderkey AS message_id, l_linenumber AS part_no"
 
-TEXTS = ["Продам {t}", "куплю {t}", "забронируй, беру {t}", "{t}", "https://shop.example {t}", "@seller {t}", "набор сотрудников, ваканси", "{t} $500 и $600", "btc {t}", "привет", "xbox"]
-CLASSES = ["spam", "product", "silent", "by_brand", "spam", "by_brand", "spam", "spam", "spam", "spam", "product"]
+TEXTS = ["Продам {t}", "куплю {t}", "забронируй, беру {t}", "{t}", "https://shop.example {t}", "@seller xbox one", "набор сотрудников, ваканси", "{t} $500 и $600", "btc {t}", "привет", "xbox"]
+CLASSES = ["spam", "product", "silent", "by_brand", "spam", "product", "spam", "spam", "spam", "spam", "product"]
 MSG = f"CASE l_orderkey % 11 " + " ".join(
     f"WHEN {i} THEN " + ("concat('" + t.replace("{t}", "', " + E["title"] + ", '") + "')" if "{t}" in t else f"'{t}'") for i, t in enumerate(TEXTS)) + " END"
 BY_BRAND = f"CASE WHEN {E['brand']} IN ('Xiaomi') THEN 'product' ELSE 'spam' END"
