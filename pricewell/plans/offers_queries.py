@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M, vocab as V
 from ..functions.text import fmt_price
 from ..operators import catalog as C, match as J, pricing as P, publish as B, rollup as A
+from ..session import cut_lineage
 from . import bindings as X
 from .registry import query
 
@@ -159,7 +160,8 @@ def two_step_lookup(spark, d):
     items = c.join(best(spark, d), "variant_id").selectExpr(
         "cat", f"{LK_TITLE} AS title", "floor(min_price) AS min_price", "best_channels", "array('us') AS region_min", "variant_id AS seq")
     from ..functions.text import title_key
-    index = A.winner_index(items.withColumn("title_key", title_key("title")), ["cat", "title_key"])
+    # the index is a stored stage: the lookup reads it three times
+    index = cut_lineage(A.winner_index(items.withColumn("title_key", title_key("title")), ["cat", "title_key"]))
     out = A.price_lookup(c.selectExpr("variant_id", "cat", f"{LK_VARIANT} AS title"), index, ["cat"])
     return out.select("variant_id", "cat", F.col("min_price").cast("bigint").alias("min_price"))
 

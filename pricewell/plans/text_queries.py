@@ -239,11 +239,11 @@ _ATTRS = ["cat", "brand", "series", "model", "storage", "ram", "color", "color_1
           "screen_size", "watch_size_mm", "connectivity", "drive", "chip", "year", "anc", "case", "nano_glass", "no_watches", "game"]
 
 
-def _offers_from_text(spark, d):
+def _offers_from_text(spark, d, index=None):
     """Distinct line texts go through resolution and extraction once, then back to their rows."""
     lines = X.offer_lines(spark, d)
     texts = R._spread(lines.select("text").distinct())
-    return lines, cut_lineage(R.normalize_queries(texts, _index(spark, d), catalog_rules=False))
+    return lines, cut_lineage(R.normalize_queries(texts, index or _index(spark, d), catalog_rules=False))
 
 
 def _variants(spark, d):
@@ -312,9 +312,10 @@ def color_compat_match(spark, d):
 SELECT p_partkey + 2 AS row_no, min(price) AS min_price, arg_min(channel, (price, seq)) AS best_channel, count(k) AS n_offers FROM part LEFT JOIN o ON k = p_partkey GROUP BY 1""")
 def sheet_match(spark, d):
     """A price sheet of raw names, resolved and filled with the best offers."""
-    lines, texts = _offers_from_text(spark, d)
+    index = _index(spark, d)
+    lines, texts = _offers_from_text(spark, d, index)
     sheet = X.text_catalog(spark, d).select((F.col("variant_id") + 2).alias("row_no"), F.concat(F.col("title"), F.lit(" (Global)")).alias("name"))
-    rows = cut_lineage(R.resolve_sheet(sheet, _index(spark, d)))
+    rows = cut_lineage(R.resolve_sheet(sheet, index))
     pairs = J.match_variants(rows, texts, ["row_no"], ["text", "price"])
     matches = lines.select("text", "channel", "seq").join(pairs, "text").withColumnRenamed("text", "raw")
     return J.sheet_best(rows.select("row_no"), matches).select("row_no", "min_price", "best_channel", "n_offers")
