@@ -281,19 +281,13 @@ def best_price(offers: DataFrame, variant: list[str], channel: str = "channel",
     )
 
 
-def price_list(offers: DataFrame, variant: list[str]) -> DataFrame:
-    """Nested form: prices of a variant in order (for one model's page, not for whole tables)."""
-    item = F.struct("price", "channel", "raw")
-    return offers.groupBy(*variant).agg(
-        F.array_sort(F.collect_list(item), lambda a, b: F.when(a["price"].isNull() & b["price"].isNull(), 0)
-                     .when(a["price"].isNull(), 1).when(b["price"].isNull(), -1)
-                     .when(a["price"] < b["price"], -1).when(a["price"] > b["price"], 1).otherwise(0)).alias("prices")
-    )
-
-
 def collect_sources(offers: DataFrame, variant: list[str]) -> DataFrame:
-    """Distinct sorted channels of a variant."""
-    return offers.groupBy(*variant).agg(F.array_sort(F.collect_set("channel")).alias("raw_channels"))
+    """Distinct channels and raw lines of a variant, one row each, so that none of them is one growing array."""
+    pair = F.array(
+        F.struct(F.lit("channel").alias("kind"), F.col("channel").alias("value")),
+        F.struct(F.lit("raw").alias("kind"), F.col("raw").alias("value")),
+    )
+    return offers.select(*variant, F.inline(pair)).filter("value IS NOT NULL").distinct()
 
 
 def channel_wins(best: DataFrame) -> DataFrame:

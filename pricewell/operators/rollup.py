@@ -94,11 +94,22 @@ def merge_tenant(base: DataFrame, own: DataFrame) -> DataFrame:
     return winner_index(b.unionByName(o, allowMissingColumns=True))
 
 
-def tenant_view(base: DataFrame, own: DataFrame, tenants: DataFrame) -> DataFrame:
-    """Rows each tenant sees: its own (custom/own mode), else the base."""
-    mine = own.join(tenants.filter("mode <> 'default'").select("tenant_id"), "tenant_id", "left_semi")
-    without = tenants.select("tenant_id").join(mine.select("tenant_id").distinct(), "tenant_id", "left_anti")
-    return mine.unionByName(base.crossJoin(without), allowMissingColumns=True)
+def tenant_sources(own: DataFrame, tenants: DataFrame) -> DataFrame:
+    """Which rows each tenant sees: its own (custom/own mode, if it has any), else the base.
+
+    The base is not copied per tenant; readers follow ``source``.
+    """
+    have = own.select("tenant_id").distinct().withColumn("_own", F.lit(True))
+    return tenants.join(have, "tenant_id", "left").select(
+        "tenant_id", F.when((F.col("mode") != "default") & F.coalesce("_own", F.lit(False)), "own").otherwise("base").alias("source")
+    )
+
+
+def tenant_view(base: DataFrame, own: DataFrame, tenants: DataFrame, tenant_id) -> DataFrame:
+    """The rows of one tenant."""
+    mine = tenant_sources(own, tenants).filter(F.col("tenant_id") == tenant_id)
+    key = lambda df, src: df.withColumn("source", F.lit(src)).join(mine.select("source"), "source", "left_semi")
+    return key(own.filter(F.col("tenant_id") == tenant_id), "own").unionByName(key(base, "base"), allowMissingColumns=True)
 
 
 # ----------------------------------------------------------------- summaries

@@ -8,6 +8,7 @@ from ..functions import vocab as V
 from ..functions.text import fmt_price
 from .catalog import PATH, POSITIONS
 from .publish import join_lines, with_region_prefix
+from .windows import numbered
 
 
 def models_under(catalog: DataFrame, path: list[str]) -> DataFrame:
@@ -50,12 +51,19 @@ def render_model_view(catalog: DataFrame, keys: list[str] | None = None, order:
     )
 
 
-def page_numbers(df: DataFrame, by: list[str], order: list, size: int = V.PAGE_SIZE) -> DataFrame:
-    """Page and place on the page of every row of a menu (the children of one node)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).withColumns(
-        {"page": F.floor((F.col("_rn") - 1) / size).cast("int"), "place": ((F.col("_rn") - 1) % size + 1).cast("int")}
-    ).drop("_rn")
+def page_numbers(df: DataFrame, by: list[str], order: list, size: int = V.PAGE_SIZE, width: float | None = None) -> DataFrame:
+    """Page and place on the page of every row of a menu (the children of one node).
+
+    With ``width`` the single numeric order column is cut into buckets, for nodes
+    with very many children.
+    """
+    if width is None:
+        rows = df.withColumn("_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    else:
+        rows = numbered(df, by, order[0], width, "_no")
+    return rows.withColumns(
+        {"page": F.floor((F.col("_no") - 1) / size).cast("int"), "place": ((F.col("_no") - 1) % size + 1).cast("int")}
+    ).drop("_no")
 
 
 def page(df: DataFrame, by: list[str], order: list, page_no: int, size: int = V.PAGE_SIZE) -> DataFrame:

@@ -66,9 +66,8 @@ def channel_wins(spark, d):
 
 @query("source_channels", f"""SELECT l_partkey AS variant_id, count(DISTINCT l_suppkey) AS n_channels, min({X.CHANNEL}) AS first_channel FROM lineitem GROUP BY 1""")
 def source_channels(spark, d):
-    return J.collect_sources(X.offers(spark, d), ["variant_id"]).select(
-        "variant_id", F.size("raw_channels").cast("bigint").alias("n_channels"), F.element_at("raw_channels", 1).alias("first_channel")
-    )
+    pairs = J.collect_sources(X.offers(spark, d), ["variant_id"]).filter("kind = 'channel'")
+    return pairs.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n_channels"), F.min("value").alias("first_channel"))
 
 
 CAND, MATCHED = "l_shipdate >= TIMESTAMP '2001-06-01 00:00:00'", "l_quantity >= 40"
@@ -138,7 +137,11 @@ def tenant_view(spark, d):
     base = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.lit("base").alias("source"))
     own = X.table(spark, d, "customer").select(F.col("c_nationkey").alias("tenant_id"), F.col("c_custkey").alias("row_id"), F.lit("own").alias("source"))
     tenants = X.table(spark, d, "nation").selectExpr("n_nationkey AS tenant_id", "CASE WHEN n_nationkey % 3 = 0 THEN 'default' ELSE 'custom' END AS mode")
-    return A.tenant_view(base, own, tenants).groupBy("tenant_id", "source").agg(F.count(F.lit(1)).alias("n_rows"))
+    sources = A.tenant_sources(own, tenants)
+    counts = own.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("_own"))
+    total = base.agg(F.count(F.lit(1)).alias("_base"))
+    return sources.join(counts, "tenant_id", "left").crossJoin(F.broadcast(total)).select(
+        "tenant_id", "source", F.when(F.col("source") == "own", F.col("_own")).otherwise(F.col("_base")).alias("n_rows"))
 
 
 LK_TITLE = "CASE variant_id % 3 WHEN 0 THEN concat('M', CAST(variant_id AS VARCHAR(20)), ' 8/256gb') WHEN 1 THEN concat('M', CAST(variant_id AS VARCHAR(20)), ' 256gb') ELSE concat('M', CAST(variant_id - variant_id % 6 AS VARCHAR(20)), ' 12/512 GB') END"
@@ -264,8 +267,9 @@ LEFT JOIN ov1 a ON a.channel_id = n.channel_id AND a.path_key = concat_ws('|', p
 LEFT JOIN ov1 b ON b.channel_id = n.channel_id AND b.path_key = concat_ws('|', p_type, p_brand)""")
 def markup_override(spark, d):
     nodes = X.catalog(spark, d).select("cat", "brand", "model").distinct()
-    channels = X.table(spark, d, "region").selectExpr("CAST(r_regionkey AS STRING) AS channel_id", "3.0D + r_regionkey AS markup_default")
-    rows = nodes.crossJoin(F.broadcast(channels)).withColumn("path", F.array("cat", "brand", "model"))
+    # the five region keys are the channels
+    rows = nodes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).selectExpr(
+        "cat", "brand", "model", "array(cat, brand, model) AS path", "CAST(r AS STRING) AS channel_id", "3.0D + r AS markup_default")
     return P.resolve_markup(rows, _overrides(spark, d)).select("channel_id", "cat", "brand", "model", "markup")
 
 
@@ -309,8 +313,9 @@ SPEC = "(VALUES (0, 'ECONOMY'), (1, 'SMALL|Brand#3'), (1, 'LARGE|Brand#4|red pla
 SELECT channel_id, p AS path FROM node n WHERE NOT EXISTS (SELECT 1 FROM spec WHERE spec.channel_id = n.channel_id)
  OR EXISTS (SELECT 1 FROM spec WHERE spec.channel_id = n.channel_id AND (starts_with(p || '|', s || '|') OR starts_with(s || '|', p || '|')))""")
 def path_prefix_filter(spark, d):
-    channels = X.table(spark, d, "region").select(F.col("r_regionkey").alias("channel_id"))
-    nodes = X.catalog(spark, d).select(F.array("cat", "brand", "model").alias("path")).distinct().crossJoin(F.broadcast(channels))
+    nodes = X.catalog(spark, d).select(F.array("cat", "brand", "model").alias("path")).distinct()
+    # the five region keys are the channels
+    nodes = nodes.withColumn("channel_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
     spec = spark.sql(f"SELECT * FROM {SPEC} AS t(channel_id, s)")
     out = B.path_prefix_match(nodes, spec.select("channel_id", F.split("s", r"\|").alias("spec_path")), ["channel_id"])
     return out.select("channel_id", F.array_join("path", "|").alias("path"))

@@ -31,8 +31,8 @@ SELECT mode, cat, brand, model, CASE WHEN mode = 'opt' THEN string_agg(line, chr
 FROM l CROSS JOIN (VALUES ('opt'), ('retail')) AS t(mode) GROUP BY mode, cat, brand, model""")
 def post_render(spark, d):
     from ..functions.money import channel_price
-    modes = spark.sql("SELECT * FROM VALUES ('opt'), ('retail') AS t(mode)")
-    lines = _priced(spark, d).crossJoin(F.broadcast(modes)).withColumn("sell_price", channel_price("min_price", F.lit("opt")))
+    modes = F.explode(F.array(F.lit("opt"), F.lit("retail")))
+    lines = _priced(spark, d).withColumn("mode", modes).withColumn("sell_price", channel_price("min_price", F.lit("opt")))
     return B.render_posts(lines, ["mode", "cat", "brand", "model"], order=["variant_pos"])
 
 
@@ -52,7 +52,7 @@ def model_pages(spark, d):
     c = _priced(spark, d).withColumn("best_channels", F.array().cast("array<string>"))
     view = V.render_model_view(c, ["cat", "brand", "model"], regions=None)
     first = c.groupBy("cat", "brand", "model").agg(F.min("variant_id").alias("k"))
-    return V.page_numbers(view.join(first, ["cat", "brand", "model"]), ["brand"], ["k"]).select("cat", "brand", "model", "text", "page")
+    return V.page_numbers(view.join(first, ["cat", "brand", "model"]), ["brand"], ["k"], width=120000.0).select("cat", "brand", "model", "text", "page")
 
 
 @query("drill_down", "SELECT p_brand AS child, count(*) AS n FROM part WHERE p_type = 'ECONOMY' GROUP BY 1")
@@ -81,8 +81,9 @@ def _posts(spark, d):
 
 
 def _desired(spark, d):
-    ch = X.table(spark, d, "orders").select(F.col("o_orderstatus").alias("channel_id")).distinct()
-    return X.table(spark, d, "part").crossJoin(ch).selectExpr(
+    # the three order states are the channels
+    part = X.table(spark, d, "part").withColumn("channel_id", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))))
+    return part.selectExpr(
         "channel_id", "concat('M', p_partkey) AS model", "CASE WHEN p_partkey % 13 <> 0 THEN concat('price ', p_partkey) END AS text",
         "p_partkey % 11 = 0 AND p_partkey % 2 = 0 AS want_media")
 

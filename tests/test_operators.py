@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from pricewell.operators import catalog as C, match as J, messages as M, publish as B, resolve as R, rollup as A
+from pricewell.session import cut_lineage
 from pricewell.streaming import suppress as U
 
 
@@ -129,3 +130,33 @@ def test_theta_rules(spark):
     o = J.prepare(spark.createDataFrame([mk(i, c[1]) for i, c in enumerate(cases)], schema)).alias("o")
     got = {r.n: r.reason for r in v.join(o, F.col("v.n") == F.col("o.n")).select("v.n", J.mismatch().alias("reason")).collect()}
     assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_stateful_stream_equals_batch(spark, tmp_path):
+    times = [0, 30, 61, 90, 130]
+    df = spark.createDataFrame([(i, "x", t) for i, t in enumerate(times)], "id long, k string, s long").withColumn("ts", F.timestamp_seconds(F.col("s") + 1700000000))
+    df.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "10 minutes")
+    out = U.suppress_stateful(stream, ["k"], "ts", 60, "id")
+    q = (out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.s for r in spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect()) == [0, 61, 130]
+
+
+def test_answers_to_buyers(spark):
+    import json
+
+    from pricewell.streaming import answer as Q
+
+    tree = {"Смартфоны": {"Apple": {"iPhone 17": {"iPhone 17": ["iPhone 17 256GB Black", "iPhone 17 512GB White"]}}}}
+    cat = C.flatten_catalog(spark.createDataFrame([(json.dumps(tree, ensure_ascii=False),)], "tree string"))
+    price = F.when(F.col("variant_pos") == 0, 80000).otherwise(95000)
+    offers = cut_lineage(C.build_variants(cat).withColumn("price", price).withColumn("region", F.lit(None).cast("string")))
+    rows = [(1, 7, "2024-01-01 10:00:00", "Куплю iPhone 17 256GB Black"), (2, 8, "2024-01-01 10:00:30", "куплю  iphone 17 256gb black"),
+            (3, 9, "2024-01-01 10:05:00", "Продам iPhone 17"), (4, 9, "2024-01-01 10:06:00", "ищу iPhone 17 1TB Red")]
+    batch = spark.createDataFrame(rows, "message_id long, user_id long, t string, text string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    out = Q.answer_batch(batch, offers, cut_lineage(C.build_alias_index(cat)))
+    got = out["matched"].filter("accepted").collect()
+    assert [(r.message_id, r.reply) for r in got] == [(1, "iPhone 17 256GB Black - 80 500 ₽ (sim+esim)")]
+    assert [(r.message_id, r.reason) for r in out["unmatched"].collect()] == [(4, "color")]
