@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, neardup, pieces, urls
+from . import fingerprints, langid, neardup, pieces, urls
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -75,3 +75,8 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.b) AS component_id, min(r.b) = n.doc_i
 @query("op9_minhash_neardup", NEAR_SQL)
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4)
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
