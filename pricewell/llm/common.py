@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
 
-__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "bucket_cuts", "bucket_of", "UPPER", "LOWER"]
+__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "bucket_cuts", "bucket_of", "least_hashed", "UPPER", "LOWER"]
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -76,3 +76,12 @@ def bucket_of(key: Column, cuts: list, kind: str, spread: Column) -> Column:
         return F.when(last - first > 1, first + 1 + F.pmod(spread, last - first).cast("int")).otherwise(last)
 
     return let(key, lambda k: F.when(k.isNull(), 0).otherwise(place(k)))
+
+
+def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
+    """Of each group the ``n`` rows of the least hash of ``key``; a large group is cut into slices first, so that no task sees it whole."""
+    rows = rows.withColumns({"_h": F.xxhash64(key), "_slice": F.pmod(F.xxhash64(key, F.lit(1)), F.lit(256))})
+    for part in ([group, "_slice"], [group]):
+        w = Window.partitionBy(*part).orderBy("_h", key)
+        rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return rows.drop("_h", "_slice", "_n")

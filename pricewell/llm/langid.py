@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import least_hashed
 from .textarrays import runs, text_bytes
 
 BUCKETS = 1 << 16
@@ -75,8 +76,7 @@ def fit(docs: DataFrame, learn: Column, sample: int = SAMPLE) -> tuple[list[str]
     by languages times buckets.
     """
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = [r.doc_id for r in rows.select("doc_id", "lang").withColumn("n", rank).where(F.col("n") <= sample).select("doc_id").distinct().collect()]
+    ids = [r.doc_id for r in least_hashed(rows.select("doc_id", "lang"), "lang", "doc_id", sample).select("doc_id").distinct().collect()]
     counts = rows.where(F.col("doc_id").isin(ids)).select("lang", "text").mapInArrow(_count, "lang string, bucket long, n long")
     got = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r.lang for r in got})

@@ -29,8 +29,11 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
+# Bytes that end a word: the white space, or anything but letters, digits and bytes of other characters.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
+SIGNS = np.ones(256, bool)
+SIGNS[48:58] = SIGNS[65:91] = SIGNS[97:123] = SIGNS[128:] = False
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -55,13 +58,13 @@ def runs(off: np.ndarray, size: int = RUN_BYTES):
         i = j
 
 
-def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(buf: np.ndarray, off: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words (byte positions) and each row's first word; a row's end ends a word."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     edge = np.zeros(len(buf) + 1, bool)
     edge[off] = True
-    ink = ~WHITE[buf]
+    ink = ~white[buf]
     start = ink.copy()
     start[1:] &= ~ink[:-1] | edge[1:-1]
     end = ink.copy()
