@@ -2,12 +2,13 @@
 
 1. One pass over the texts gives each document's set size, set digest, band keys and odd sketch (parity bitmap of its MinHash samples).
 2. Documents of equal sets form a class; only its least doc_id goes on, so exact copies cost nothing.
-3. Classes that share a band key are candidates.  A key of few classes gives its pairs; a key of many links each to the least (a star), so that a hot key
-   gives as many pairs as it has classes.
+3. Classes that share a band key are candidates.  A key of few classes gives its pairs; a key of many links each to its hub (the class that shares most hot
+   keys), so that a hot key gives as many pairs as it has classes.
 4. The XOR population count of two odd sketches estimates their similarity; clear misses go, the rest are confirmed on full sets.
 5. Components by label propagation with pointer jumping.
 6. A star leaves open whether two classes that it did not join are alike.  Classes of hot keys that lie in several components are compared exactly by prefix
-   filtering: shingles are ordered from rare to frequent and alike sets must share one of the first size - ceil(0.8 size) + 1.  Then step 5 again.
+   filtering: shingles are ordered from rare to frequent and alike sets must share one of the first size - ceil(0.8 size) + 1.  Inside that join the odd
+   sketches of the sets themselves are compared: their XOR population count never exceeds the symmetric difference.  Then step 5 again.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -32,6 +33,8 @@ BITS = 1024
 SLACK = 0.2
 # A band key of more classes is hot.
 STAR = 12
+# Words of 64 bits of the odd sketch of a whole set.
+PARITY = 16
 
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
@@ -118,12 +121,23 @@ def _estimated(batches):
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
+def set_parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY) odd sketches of whole sets: each member flips one bit."""
+    bits = 64 * PARITY
+    out = np.empty((len(sets), bits), np.uint8)
+    for r, s in enumerate(sets):
+        out[r] = np.bincount((s >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
 def _set_maker(n: int):
     def make(batches):
         for batch in batches:
             for i, sets in document_sets(batch.column("text"), n):
+                parity = [p.view(np.int64) for p in set_parities(sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "set"]
+                    [batch.column("doc_id").slice(i, len(sets)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(parity, pa.list_(pa.int64()))],
+                    ["id", "set", "parity"],
                 )
 
     return make
@@ -152,8 +166,18 @@ def components(edges: DataFrame) -> DataFrame:
             return comp
 
 
+def may_be_alike(odd, size) -> Column:
+    """Whether sets of together ``size`` members whose parities differ in ``odd`` bits may be alike.
+
+    Alike sets differ in at most size / 9 members, and no more bits can be odd.  So many members flip fewer bits; six standard deviations are allowed.
+    """
+    bits = 64 * PARITY
+    most = size * float((1 - SIMILAR) / (1 + SIMILAR))
+    return (odd <= most + 1e-6) & (odd <= bits / 2 * (1 - F.exp(-2 * most / bits)) + 3 * bits**0.5)
+
+
 def rest_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components that may be alike, by prefix filtering over ``sets`` (id, set)."""
+    """All pairs (a, b) of different components that may be alike, by prefix filtering over ``sets`` (id, set, parity)."""
     n = F.size("set")
     one = sets.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), n.alias("n"), F.explode("set").alias("s"))
     often = one.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -162,13 +186,14 @@ def rest_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
     order = Window.partitionBy("id").orderBy("df", "s")
     own = F.col("n") - F.count("*").over(Window.partitionBy("id"))
     head = shared.withColumns({"place": own + F.row_number().over(order), "need": F.ceil(F.col("n") * SIMILAR.numerator / SIMILAR.denominator)})
-    head = cut_lineage(head.where(F.col("place") <= F.col("n") - F.col("need") + 1).select("s", "id", "comp", "n"))
+    head = head.where(F.col("place") <= F.col("n") - F.col("need") + 1).select("s", "id", "comp", "n")
     many = head.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    head = head.join(many, "s")
-    other = head.select("s", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    alike = (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b"))
-    alike &= (F.col("n") * SIMILAR.denominator >= F.col("n_b") * SIMILAR.numerator) & (F.col("n_b") * SIMILAR.denominator >= F.col("n") * SIMILAR.numerator)
-    return head.join(other, "s").where(alike).select(F.col("id").alias("a"), "b").distinct()
+    bits = sets.select("id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
+    head = cut_lineage(head.join(many, "s").join(bits, "id"))
+    other = head.select("s", *[F.col(c).alias(f"{c}_b") for c in head.columns if c != "s"])
+    odd = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+    alike = (head["s"] == other["s"]) & (F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & may_be_alike(odd, F.col("n") + F.col("n_b"))
+    return head.join(other, alike).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
@@ -184,26 +209,28 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     alike = cut_lineage(signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     classes = signed.join(alike, "digest").where("doc_id = rep").select("rep", "odd", "bands")
     keys = classes.select(F.explode("bands").alias("key"), "rep")
-    stats = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("many"), F.min("rep").alias("lead")).where("many > 1"))
+    stats = cut_lineage(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     keys = cut_lineage(keys.join(stats, "key"))
 
     few = keys.where(F.col("many") <= STAR).groupBy("key").agg(F.array_sort(F.collect_set("rep")).alias("m"))
     later = lambda x, i: F.transform(F.slice(F.col("m"), i + 2, STAR), lambda y: F.struct(x.alias("a"), y.alias("b")))
     few = few.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*")
     hot = keys.where(F.col("many") > STAR)
-    star = hot.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    hot = hot.join(hot.groupBy("rep").agg(F.sum("many").alias("weight")), "rep")
+    hubs = hot.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("hub"))).alias("top")).select("key", (-F.col("top.hub")).alias("hub"))
+    hot = cut_lineage(hot.join(hubs, "key").select("key", "rep", "hub"))
+    star = hot.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     pairs = cut_lineage(few.union(star).distinct())
 
     odd = classes.select("rep", "odd")
     sketched = pairs.join(odd.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a")), "a").join(odd.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b")), "b")
     likely = cut_lineage(sketched.mapInArrow(_estimated, "a long, b long"))
 
-    def sets_of(ids):
-        texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").join(alike, F.col("doc_id") == F.col("rep"), "left_semi")
-        return cut_lineage(texts.mapInArrow(_set_maker(n), "id long, set array<long>"))
-
-    ends = lambda p: p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-    edges = cut_lineage(confirmed(likely, sets_of(ends(likely))))
+    # Full sets of the classes that are to be compared, from their texts.
+    ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).union(hot.select("rep")).distinct()
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    sets = cut_lineage(texts.mapInArrow(_set_maker(n), "id long, set array<long>, parity array<long>"))
+    edges = cut_lineage(confirmed(likely, sets))
     comp = components(edges)
 
     # Hot keys whose classes lie in several components.
@@ -211,7 +238,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     open_keys = hot.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     rest = cut_lineage(hot.join(open_keys, "key").select(F.col("rep").alias("id")).distinct())
     if not rest.isEmpty():
-        sets = sets_of(rest)
+        sets = sets.join(rest, "id", "left_semi")
         more = confirmed(rest_pairs(sets, comp), sets)
         comp = components(edges.union(more))
 
