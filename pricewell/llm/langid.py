@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import least_hashed
 from .textarrays import runs, text_bytes
@@ -135,29 +136,31 @@ def _has_letter(text) -> bool:
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
-    """``docs``' doc_id with lang_pred, score, n_langs, fit of each text.
+    """``docs`` with _lang_pred, _score, _n_langs, _fit of each text; every column and row stays.
 
-    ``score`` is the smoothed share of the predicted language; null texts and texts without a letter, and all texts if nothing was learned, give ``und`` and 0.
+    ``_score`` is the smoothed share of the predicted language; null texts and texts without a letter, and all texts if nothing was learned, give ``und`` and 0.
     """
+    names = [*docs.columns, "_lang_pred", "_score", "_n_langs", "_fit"]
 
     def run(batches):
         for batch in batches:
             column = batch.column("text")
             buf, off = text_bytes(column)
             for i, j in runs(off):
-                shares, words, fit_, grams = mixtures(buf[off[i] : off[j]], off[i : j + 1] - off[i], table)
-                top = shares.argmax(1)
-                score = (words * shares[np.arange(j - i), top] + SMOOTH) / (words + SMOOTH * max(1, len(langs)))
-                plain = _ascii_letters(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                known = [bool(langs) and (plain[r] or _has_letter(column[i + r].as_py())) for r in range(j - i)]
-                pred = [langs[top[r]] if known[r] else UND for r in range(j - i)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(pred), pa.array(np.where(known, score, 0.0)), pa.array((shares > 0).sum(1)), pa.array(fit_)],
-                    ["doc_id", "lang_pred", "score", "n_langs", "fit"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_langs long, fit double")
+                part, at, n = buf[off[i] : off[j]], off[i : j + 1] - off[i], j - i
+                shares, words, fit_, grams = mixtures(part, at, table)
+                top = shares.argmax(1) if len(langs) else np.zeros(n, int)
+                score = (words * shares[np.arange(n), top] + SMOOTH) / (words + SMOOTH * len(langs)) if len(langs) else np.zeros(n)
+                plain = _ascii_letters(part, at)
+                known = [bool(langs) and bool(plain[r] or _has_letter(column[i + r].as_py())) for r in range(n)]
+                pred = [langs[top[r]] if known[r] else UND for r in range(n)]
+                own = [pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array((shares > 0).sum(1)), pa.array(fit_)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, n) for c in batch.columns), *own], names)
+
+    found = T.StructType(list(docs.schema.fields))
+    for name, kind in zip(names[-4:], (T.StringType(), T.DoubleType(), T.LongType(), T.DoubleType()), strict=True):
+        found = found.add(name, kind)
+    return docs.mapInArrow(run, found)
 
 
 def _ascii_letters(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -172,5 +175,6 @@ def identify(docs: DataFrame, mod: int = 5, rest: int = 0, sample: int = SAMPLE)
     Null texts are ``und``; repeated rows are each predicted; rows of a null lang are not learned from; an empty table gives an empty result.
     """
     langs, table = fit(docs, ~held_out(F.col("doc_id"), mod, rest), sample)
-    got = predict(docs, langs, table)
-    return got.select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), "lang_pred", "score", "n_langs", "fit")
+    got = predict(docs.select("doc_id", "text"), langs, table)
+    names = {c: c[1:] for c in ("_lang_pred", "_score", "_n_langs", "_fit")}
+    return got.select("doc_id", held_out(F.col("doc_id"), mod, rest).alias("held_out"), *[F.col(a).alias(b) for a, b in names.items()])

@@ -246,3 +246,17 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, that of the least doc_id, and one of each repeated doc_id; rows of a null id stay."""
+    got = cut_lineage(near_duplicates(docs, n).where("doc_id IS NOT NULL").select("doc_id", "kept"))
+    dropped = got.where("NOT kept").select("doc_id").distinct()
+    out = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    again = got.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        # Rows that share an id: the one of the least text hash stays.
+        first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+        rows = out.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+        out = out.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(rows)
+    return out

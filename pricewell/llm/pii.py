@@ -27,7 +27,8 @@ NEAR_WORDS = 3
 FEATURES = 1 << 10
 ROUNDS = 12
 EPOCHS = 6
-WHITE = " \t\n\x0b\x0c\r"
+# Rows that are turned into Python texts at a time.
+ROWS = 500
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -269,8 +270,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     return train([t for _, t in sorted((r.doc_id, r.text) for r in texts if r.text)])
 
 
-def find(docs: DataFrame, field: Field, redact: bool = False) -> DataFrame:
-    """doc_id with counts by kind, base_sha256 and spans of each text; with ``redact`` only doc_id and the text with every span replaced by its kind.
+def find(docs: DataFrame, field: Field) -> DataFrame:
+    """doc_id with counts by kind, base_sha256 and spans of each text.
 
     Null texts are empty and have no span; repeated rows are each searched; other columns are ignored.
     """
@@ -278,25 +279,34 @@ def find(docs: DataFrame, field: Field, redact: bool = False) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                got, clean = [], []
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                got = []
                 for text in part.column("text").to_pylist():
                     base, spans = all_spans(text, field) if text else ([], [])
                     got.append((*(sum(s[0] == k for s in spans) for k in range(len(KINDS))), sha(base), join_spans(spans)))
-                    clean.append(masked(text, spans) if redact else None)
-                if redact:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(clean, pa.string())], ["doc_id", "text"])
-                else:
-                    cols = list(zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc_id"), *(pa.array(list(c), pa.int64()) for c in cols[:4]), pa.array(list(cols[4])), pa.array(list(cols[5]))],
-                        ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
-                    )
+                cols = list(zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), *(pa.array(list(c), pa.int64()) for c in cols[:4]), pa.array(list(cols[4])), pa.array(list(cols[5]))],
+                    ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = "text string" if redact else ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {out}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+
+
+def redact(docs: DataFrame, field: Field) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in brackets; null texts stay null, all other columns and rows stay."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                part = batch.slice(i, ROWS)
+                clean = [masked(t, all_spans(t, field)[1]) if t else t for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(clean, pa.string()), *part.columns[at + 1 :]], part.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def masked(text: str | None, spans) -> str | None:

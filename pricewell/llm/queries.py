@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, fingerprints, langid, neardup, pieces, pii, toxicity, urls
+from . import chat, decontam, fingerprints, langid, lm, neardup, pieces, pii, toxicity, urls
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -114,3 +114,13 @@ def op6_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
     return chat.read_back(chat.format_conversations(turns.unionByName(marked)))
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_masked_pseudo_likelihood")
+def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
