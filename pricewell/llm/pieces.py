@@ -93,6 +93,13 @@ class Pieces:
         key = np.array([a * self.width + b for a, b in pairs], np.int64)
         by = np.argsort(key)
         self.key, self.rank, self.made = key[by], *np.array(list(pairs.values()), np.int32)[by].T
+        # Symbol of each code point; those of no piece are negative.
+        self.start = -1 - np.arange(0x110000)
+        for t, i in self.symbol.items():
+            if len(t) == 1:
+                self.start[ord(t)] = i
+        self.plain = {i for i, k in enumerate(kind) if k == NORMAL}
+        self.extra = {i: t for t, i in self.symbol.items() if i >= len(self.text)}
         self.fresh()
 
     def fresh(self) -> None:
@@ -132,8 +139,7 @@ class Pieces:
 
     def merge(self, units: list[str]) -> list[list[int]]:
         """Final symbols of each unit."""
-        get = self.symbol.get
-        sym = np.array([get(c, -1 - ord(c)) for u in units for c in u], np.int64)
+        sym = self.start[np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)]
         count = np.array([len(u) for u in units], np.int64)
         name, done = np.arange(len(units)), [[] for _ in units]
         while len(name):
@@ -141,13 +147,15 @@ class Pieces:
             rank, at = self.pair(sym, np.append(sym[1:], -1))
             rank[first[1:] - 1] = NONE
             least = np.minimum.reduceat(rank, first[:-1])
-            risky = (least != NONE) & self.careful[np.minimum(least, len(self.careful) - 1)]
+            word = np.repeat(np.arange(len(name)), count)
+            hit = np.flatnonzero((rank == least[word]) & (rank != NONE))
+            # One occurrence is always safe; several of a careful pair are left to the heap.
+            risky = (np.bincount(word[hit], minlength=len(name)) > 1) & self.careful[np.minimum(least, len(self.careful) - 1)]
             ready = (least == NONE) | risky
+            hit = hit[~ready[word[hit]]]
             for w in np.flatnonzero(ready):
                 own = sym[first[w] : first[w + 1]].tolist()
                 done[name[w]] = self.one_by_one(own) if risky[w] else own
-            word = np.repeat(np.arange(len(name)), count)
-            hit = np.flatnonzero((rank == least[word]) & ~ready[word])
             if len(hit):
                 # Overlapping occurrences (aaa) follow each other: of such a run every second one is merged.
                 start = np.append(True, np.diff(hit) != 1)
@@ -177,17 +185,22 @@ class Pieces:
                 size += len(u)
 
     def to_ids(self, symbols: list[int]) -> list[int]:
+        if min(symbols) >= 0 and max(symbols) < len(self.text):
+            return symbols
         out = []
         for s in symbols:
             if 0 <= s < len(self.text):
                 out.append(s)
             else:
-                c = chr(-1 - s) if s < 0 else next(t for t, i in self.symbol.items() if i == s)
+                c = chr(-1 - s) if s < 0 else self.extra[s]
                 out += [self.byte[b] for b in c.encode()]
         return out
 
     def decode(self, ids: list[int], lead: bool = True) -> str:
         """Text of ids: control pieces are silent, runs of byte pieces are UTF-8; ``lead`` drops the space set before the text."""
+        if all(map(self.plain.__contains__, ids)):
+            text = "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
+            return text[1:] if lead and text[:1] == " " else text
         out = []
         raw = bytearray()
         for i in [*ids, self.end]:
@@ -263,8 +276,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     return docs.select("doc_id", docs[text].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
 
 
-def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row; the digests are taken where the ids are made, so that neither ids nor texts travel."""
+def digest_documents(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, on request with ids; the digests are taken where the ids are made.
+
+    Null texts are empty; repeated rows are each encoded; other columns are ignored.
+    """
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 
     def run(batches):
         pieces = model(path)
@@ -273,10 +290,10 @@ def digest_documents(docs: DataFrame, path: str) -> DataFrame:
             for i in range(0, batch.num_rows, BATCH):
                 part = batch.slice(i, BATCH)
                 got = encode_batch(pieces, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array([sha(x[1]) for x in got]), pa.array([sha(x[2]) for x in got])],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                cols = [part.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), pa.array([sha(x[1]) for x in got]), pa.array([sha(x[2]) for x in got])]
+                if with_ids:
+                    cols.append(pa.array([np.array(x[1].split(" "), np.int32) for x in got], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names[: len(cols)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
