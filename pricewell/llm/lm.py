@@ -1,6 +1,6 @@
 """Language-model scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-A token is a run of letters and digits (A-Z lower-cased); the ``KNOWN`` most frequent words of the corpus have entries of their own, all others share ``TAIL``
+A token is a run of ASCII letters, digits and other characters beyond ASCII (A-Z lower-cased); the ``KNOWN`` most frequent words of the corpus have entries of their own, all others share ``TAIL``
 hashed entries.  The two tokens before and the two after a place pass an embedding and a hidden layer; the masked token's probability is that of its class
 times that inside its class.  A text's score is the sum of the log-probabilities of all its tokens, each given the others around it.
 

@@ -152,18 +152,24 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): least id reachable over undirected edges (a, b), for every id that has an edge."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut_lineage(both.where("a <> b").distinct())
-    comp = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).withColumnRenamed("a", "id"))
-    while True:
-        near = both.join(comp.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        new = comp.join(near, comp["id"] == near["a"], "left").select("id", "comp", F.least("comp", "near").alias("new"))
-        jump = comp.select(F.col("id").alias("new"), F.col("comp").alias("root"))
-        new = cut_lineage(new.join(jump, "new", "left").select("id", F.col("comp").alias("old"), F.least("new", "root").alias("comp")))
-        comp = new.select("id", "comp")
-        if new.where("old <> comp").isEmpty():
-            return comp
+    """(id, comp): least id reachable over undirected edges (a, b), for every id that has an edge.
+
+    In each round every component hooks onto its least neighbour, chains of hooks are halved twice, and the graph shrinks to the components and the
+    edges between them, so the rounds follow the logarithm of the longest path.
+    """
+    between = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    between = cut_lineage(between.where("a <> b").distinct())
+    comp = between.select(F.col("a").alias("id")).distinct().withColumn("comp", F.col("id"))
+    while not between.isEmpty():
+        hook = between.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("h"))
+        for _ in range(2):
+            jump = hook.select(F.col("a").alias("h"), F.col("h").alias("next"))
+            hook = cut_lineage(hook.join(jump, "h").select("a", F.col("next").alias("h")))
+        comp = cut_lineage(comp.join(hook.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("h", "comp").alias("comp")))
+        other = hook.select(F.col("a").alias("b"), F.col("h").alias("hb"))
+        between = between.join(hook, "a").join(other, "b").where("h <> hb")
+        between = cut_lineage(between.select(F.col("h").alias("a"), F.col("hb").alias("b")).distinct())
+    return comp
 
 
 def may_be_alike(odd, size) -> Column:
