@@ -80,11 +80,11 @@ def unmatched_variants(spark, d):
     return J.unmatched_variants(X.catalog(spark, d).select("variant_id"), cand, cand.filter(MATCHED), ["variant_id"])
 
 
-@query("unmatched_offers", """SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey AS variant_id FROM lineitem
-WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size >= 25)""")
+@query("unmatched_offers", """SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 5 = 0 THEN -1 - l_partkey ELSE l_partkey END AS variant_id FROM lineitem
+WHERE CASE WHEN l_linenumber % 5 = 0 THEN -1 - l_partkey ELSE l_partkey END NOT IN (SELECT p_partkey FROM part)""")
 def unmatched_offers(spark, d):
-    o = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_partkey").alias("variant_id"))
-    return J.unmatched_offers(o, X.catalog(spark, d).filter("size >= 25"), ["variant_id"])
+    o = X.table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", "CASE WHEN l_linenumber % 5 = 0 THEN -1 - l_partkey ELSE l_partkey END AS variant_id")
+    return J.unmatched_offers(o, X.catalog(spark, d), ["variant_id"])
 
 
 # ------------------------------------------------------------------- roll-up
@@ -124,11 +124,11 @@ def price_catalog_rollup(spark, d):
 
 
 @query("tenant_merge", f"""WITH {ITEM_SQL},
-base AS (SELECT * REPLACE (seq * 2 AS seq) FROM item WHERE seq % 2 = 0), own AS (SELECT * REPLACE (seq * 2 + 1000000000000 AS seq) FROM item WHERE seq % 3 = 0),
+base AS (SELECT * REPLACE (seq * 2 AS seq) FROM item), own AS (SELECT * REPLACE (seq * 2 + 1000000000000 AS seq) FROM item WHERE seq % 3 = 0),
 both_ AS (SELECT * FROM base UNION ALL SELECT * FROM own), {index_sql('both_', 'idx')} SELECT cat, brand, title, min_price, best_channels, region_min FROM idx""")
 def tenant_merge(spark, d):
     items = _items(spark, d)
-    return _flat(A.merge_tenant(items.filter("seq % 2 = 0"), items.filter("seq % 3 = 0")), "cat", "brand")
+    return _flat(A.merge_tenant(items, items.filter("seq % 3 = 0")), "cat", "brand")
 
 
 @query("tenant_view", """SELECT n_nationkey AS tenant_id, CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey IN (SELECT c_nationkey FROM customer) THEN 'own' ELSE 'base' END AS source,
@@ -261,14 +261,19 @@ def _overrides(spark, d):
     return low.unionByName(deep).selectExpr("CAST(p_size % 5 AS STRING) AS channel_id", "path_key", "value").groupBy("channel_id", "path_key").agg(F.max("value").alias("value"))
 
 
+def _per_region(spark, d, rows, name):
+    """Each row once for each key of ``region``; the keys come in one row."""
+    keys = X.table(spark, d, "region").agg(F.collect_set("r_regionkey").alias("_keys"))
+    return rows.crossJoin(F.broadcast(keys)).withColumn(name, F.explode("_keys")).drop("_keys")
+
+
 @query("markup_override", f"""WITH {OV_SQL}, node AS (SELECT DISTINCT CAST(r_regionkey AS VARCHAR) AS channel_id, p_type, p_brand, p_name, 3.0::DOUBLE + r_regionkey AS dflt FROM part CROSS JOIN region)
 SELECT n.channel_id, p_type AS cat, p_brand AS brand, p_name AS model, coalesce(a.value, b.value, dflt) AS markup FROM node n
 LEFT JOIN ov1 a ON a.channel_id = n.channel_id AND a.path_key = concat_ws('|', p_type, p_brand, p_name)
 LEFT JOIN ov1 b ON b.channel_id = n.channel_id AND b.path_key = concat_ws('|', p_type, p_brand)""")
 def markup_override(spark, d):
     nodes = X.catalog(spark, d).select("cat", "brand", "model").distinct()
-    # the five region keys are the channels
-    rows = nodes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(4)))).selectExpr(
+    rows = _per_region(spark, d, nodes, "r").selectExpr(
         "cat", "brand", "model", "array(cat, brand, model) AS path", "CAST(r AS STRING) AS channel_id", "3.0D + r AS markup_default")
     return P.resolve_markup(rows, _overrides(spark, d)).select("channel_id", "cat", "brand", "model", "markup")
 
@@ -314,8 +319,7 @@ SELECT channel_id, p AS path FROM node n WHERE NOT EXISTS (SELECT 1 FROM spec WH
  OR EXISTS (SELECT 1 FROM spec WHERE spec.channel_id = n.channel_id AND (starts_with(p || '|', s || '|') OR starts_with(s || '|', p || '|')))""")
 def path_prefix_filter(spark, d):
     nodes = X.catalog(spark, d).select(F.array("cat", "brand", "model").alias("path")).distinct()
-    # the five region keys are the channels
-    nodes = nodes.withColumn("channel_id", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    nodes = _per_region(spark, d, nodes, "channel_id")
     spec = spark.sql(f"SELECT * FROM {SPEC} AS t(channel_id, s)")
     out = B.path_prefix_match(nodes, spec.select("channel_id", F.split("s", r"\|").alias("spec_path")), ["channel_id"])
     return out.select("channel_id", F.array_join("path", "|").alias("path"))

@@ -13,12 +13,14 @@ from .registry import query
 
 EP = X.catalog_exprs("p_partkey")
 MODEL = ["cat", "brand", "series", "model"]
-PRICED_SQL = f"""mn AS (SELECT l_partkey AS k, min({X.PRICE}) AS m FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+# The offers of every 17th variant name one that the catalogue lacks, so it stays unpriced.
+OFFERED = "CASE WHEN l_partkey % 17 = 0 THEN -1 - l_partkey ELSE l_partkey END"
+PRICED_SQL = f"""mn AS (SELECT {OFFERED} AS k, min({X.PRICE}) AS m FROM lineitem GROUP BY 1),
 v AS (SELECT p_partkey, CAST(p_partkey % 12 AS INT) AS pos, {EP['cat']} AS cat, {EP['brand']} AS brand, {EP['model']} AS model, {EP['title']} AS title, m FROM part LEFT JOIN mn ON k = p_partkey)"""
 
 
 def _priced(spark, d):
-    price = X.table(spark, d, "lineitem").filter("l_quantity > 25").groupBy(F.col("l_partkey").alias("variant_id")).agg(F.min(F.expr(X.PRICE)).alias("min_price"))
+    price = X.table(spark, d, "lineitem").groupBy(F.expr(OFFERED).alias("variant_id")).agg(F.min(F.expr(X.PRICE)).alias("min_price"))
     return X.text_catalog(spark, d).join(price, "variant_id", "left")
 
 
@@ -36,10 +38,10 @@ def post_render(spark, d):
     return B.render_posts(lines, ["mode", "cat", "brand", "model"], order=["variant_pos"])
 
 
-@query("variant_lines", f"""WITH {PRICED_SQL}, w AS (SELECT l_partkey AS k, string_agg(DISTINCT {X.CHANNEL}, ', ' ORDER BY {X.CHANNEL}) AS who FROM lineitem JOIN mn ON mn.k = l_partkey AND {X.PRICE} = m WHERE l_quantity > 25 GROUP BY 1)
+@query("variant_lines", f"""WITH {PRICED_SQL}, w AS (SELECT mn.k AS k, string_agg(DISTINCT {X.CHANNEL}, ', ' ORDER BY {X.CHANNEL}) AS who FROM lineitem JOIN mn ON mn.k = {OFFERED} AND {X.PRICE} = m GROUP BY 1)
 SELECT p_partkey AS variant_id, CASE WHEN m IS NULL THEN title || ' — —' ELSE CASE WHEN p_partkey % 3 = 0 THEN '🇺🇸 ' ELSE '' END || title || ' — ' || {_shown('m')} || ' ₽ (' || who || ')' END AS line FROM v LEFT JOIN w ON w.k = p_partkey""")
 def variant_lines(spark, d):
-    o = X.table(spark, d, "lineitem").filter("l_quantity > 25").selectExpr("l_partkey AS variant_id", f"{X.CHANNEL} AS channel", f"{X.PRICE} AS price")
+    o = X.table(spark, d, "lineitem").selectExpr(f"{OFFERED} AS variant_id", f"{X.CHANNEL} AS channel", f"{X.PRICE} AS price")
     best = J.best_price(o, ["variant_id"]).select("variant_id", "min_price", "best_channels")
     c = X.text_catalog(spark, d).join(best, "variant_id", "left").withColumn(
         "region_min", F.when(F.col("variant_id") % 3 == 0, F.array(F.lit("us"))).otherwise(F.array().cast("array<string>")))
@@ -70,19 +72,20 @@ def catalog_completeness(spark, d):
 
 
 # --------------------------------------------------------------------- plan
-POST_SQL = """post AS (SELECT o_orderkey AS message_id, o_orderstatus AS channel_id, 'M' || (o_orderkey % 5000) AS model, CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE 'price ' || (o_orderkey % 5000) END AS text, o_orderkey % 11 = 0 AS has_media FROM orders WHERE o_orderkey < 5000),
+POST_SQL = """post AS (SELECT o_orderkey AS message_id, o_orderstatus AS channel_id, 'M' || o_orderkey AS model, CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE 'price ' || o_orderkey END AS text, o_orderkey % 11 = 0 AS has_media FROM orders),
 want AS (SELECT s AS channel_id, 'M' || p_partkey AS model, CASE WHEN p_partkey % 13 <> 0 THEN 'price ' || p_partkey END AS text, p_partkey % 11 = 0 AND p_partkey % 2 = 0 AS want_media FROM part CROSS JOIN (SELECT DISTINCT o_orderstatus AS s FROM orders))"""
 
 
 def _posts(spark, d):
-    return X.table(spark, d, "orders").filter("o_orderkey < 5000").selectExpr(
-        "o_orderkey AS message_id", "o_orderstatus AS channel_id", "concat('M', o_orderkey % 5000) AS model",
-        "CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE concat('price ', o_orderkey % 5000) END AS text", "o_orderkey % 11 = 0 AS has_media")
+    return X.table(spark, d, "orders").selectExpr(
+        "o_orderkey AS message_id", "o_orderstatus AS channel_id", "concat('M', o_orderkey) AS model",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'old' ELSE concat('price ', o_orderkey) END AS text", "o_orderkey % 11 = 0 AS has_media")
 
 
 def _desired(spark, d):
-    # the three order states are the channels
-    part = X.table(spark, d, "part").withColumn("channel_id", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))))
+    # the order states are the channels: one row that holds them all
+    states = X.table(spark, d, "orders").agg(F.collect_set("o_orderstatus").alias("states"))
+    part = X.table(spark, d, "part").crossJoin(F.broadcast(states)).withColumn("channel_id", F.explode("states"))
     return part.selectExpr(
         "channel_id", "concat('M', p_partkey) AS model", "CASE WHEN p_partkey % 13 <> 0 THEN concat('price ', p_partkey) END AS text",
         "p_partkey % 11 = 0 AND p_partkey % 2 = 0 AS want_media")
@@ -108,9 +111,9 @@ def obsolete_posts(spark, d):
     return B.obsolete_posts(_posts(spark, d), titles, _desired(spark, d).filter("text IS NOT NULL"), ["channel_id"]).select("channel_id", "message_id", "model")
 
 
-@query("vanished_posts", f"WITH {POST_SQL} SELECT channel_id, message_id FROM post WHERE message_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
+@query("vanished_posts", f"WITH {POST_SQL} SELECT channel_id, message_id FROM post WHERE message_id NOT IN (SELECT CASE WHEN l_orderkey % 7 = 3 THEN -l_orderkey ELSE l_orderkey END FROM lineitem)")
 def vanished_posts(spark, d):
-    seen = X.table(spark, d, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("message_id"))
+    seen = X.table(spark, d, "lineitem").selectExpr("CASE WHEN l_orderkey % 7 = 3 THEN -l_orderkey ELSE l_orderkey END AS message_id")
     cache = _posts(spark, d)
     return B.vanished_posts(cache, seen, []).select("channel_id", "message_id")
 

@@ -191,9 +191,9 @@ def code_index(spark, d):
     return C.build_code_index(v).select("sku", "model_id", "n_models")
 
 
-@query("canonical_names", f"SELECT DISTINCT {EP['model']} AS model, CASE WHEN {EP['brand']} = 'JBL' THEN concat('Tune ', {EP['model']}) ELSE {EP['model']} END AS canonical FROM part WHERE {EP['brand']} <> 'JBL'")
+@query("canonical_names", f"SELECT DISTINCT {EP['model']} AS model, {EP['model']} AS canonical FROM part")
 def canonical_names(spark, d):
-    return C.models_of(X.text_catalog(spark, d)).filter("brand <> 'JBL'").select("model", "canonical")
+    return C.models_of(X.text_catalog(spark, d)).select("model", "canonical")
 
 
 # ---------------------------------------------------------------- resolution
@@ -224,13 +224,12 @@ def resolve_cascade(spark, d):
     return R.resolve_models(lines, _index(spark, d)).select(*KEYS, "model", "brand")
 
 
-@query("header_resolution", f"SELECT {ID}, {E['model']} AS model FROM lineitem WHERE l_linenumber % 4 > 0")
+@query("header_resolution", f"SELECT {ID}, {E['model']} AS model FROM lineitem")
 def header_resolution(spark, d):
     bare = f"concat({E['true_color']}, ' - ', {X.PRICE_TEXT})"
-    # 1: the line names its model; 2: only the header does; 3: the header names another brand
+    # 0: line and header name it; 1: the line names its model; 2: only the header does; 3: the header names another brand
     lines = X.derived(spark, d, text=f"CASE WHEN l_linenumber % 4 = 2 THEN {bare} ELSE {X.LINE} END",
-                      header=f"CASE l_linenumber % 4 WHEN 1 THEN NULL WHEN 2 THEN {E['model']} ELSE CASE {E['brand']} WHEN 'Xiaomi' THEN 'Google Pixel' WHEN 'Samsung' THEN 'Google' ELSE 'прайс' END END")
-    lines = lines.filter("part_no % 4 > 0")
+                      header=f"CASE l_linenumber % 4 WHEN 1 THEN NULL WHEN 2 THEN {E['model']} WHEN 0 THEN {E['model']} ELSE CASE {E['brand']} WHEN 'Xiaomi' THEN 'Google Pixel' WHEN 'Samsung' THEN 'Google' ELSE 'прайс' END END")
     return R.resolve_with_header(lines, _index(spark, d)).select(*KEYS, "model")
 
 
@@ -322,11 +321,11 @@ def sheet_match(spark, d):
 
 
 @query("sheet_summary", """SELECT count(*) AS rows_total, count(*) AS rows_named, count(mn) AS rows_priced, count(*) - count(mn) AS rows_unpriced, CAST(sum(n) AS BIGINT) AS offers_total
-FROM (SELECT p_partkey, min(l_extendedprice) AS mn, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 48 GROUP BY 1)""")
+FROM (SELECT p_partkey, min(l_extendedprice) AS mn, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON p_partkey = CASE WHEN l_partkey % 17 = 0 THEN -1 - l_partkey ELSE l_partkey END GROUP BY 1)""")
 def sheet_summary(spark, d):
     sheet = X.catalog(spark, d).select(F.col("variant_id").alias("row_no"), F.col("model").alias("name"))
-    m = X.table(spark, d, "lineitem").filter("l_quantity > 48").selectExpr(
-        "l_partkey AS row_no", f"{X.CHANNEL} AS channel", "l_extendedprice AS price", "l_returnflag AS raw", "l_orderkey AS seq")
+    m = X.table(spark, d, "lineitem").selectExpr(
+        "CASE WHEN l_partkey % 17 = 0 THEN -1 - l_partkey ELSE l_partkey END AS row_no", f"{X.CHANNEL} AS channel", "l_extendedprice AS price", "l_returnflag AS raw", "l_orderkey AS seq")
     return J.sheet_summary(J.sheet_best(sheet, m))
 
 
