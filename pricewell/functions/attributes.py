@@ -147,12 +147,8 @@ def _color_key(phrase: str) -> str:
 
 
 def default_color_phrases() -> list[tuple[str, str]]:
-    """(phrase, colour) pairs: constants plus the forms the rules generate."""
-    pairs = list(V.COLOR_SYNONYMS.items())
-    pairs += [(stem + end, color) for stem, color in V.RU_COLOR_STEMS.items() for end in V.RU_COLOR_ENDINGS]
-    pairs += [(f"{t} titanium", f"{t} Titanium") for t in V.TITANIUM_FINISHES]
-    pairs += [(c, c) for c in V.BASE_COLORS + V.TWO_TONE_COLORS]
-    return pairs
+    """(phrase, colour) pairs: other words first, then the colours by their own names."""
+    return [(word, color) for color, words in V.COLOR_WORDS.items() for word in words] + [(c, c) for c in V.COLORS]
 
 
 @lru_cache(maxsize=8)
@@ -231,7 +227,7 @@ def region_of(col) -> Column:
         F.filter(F.transform(flags_of(raw), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
     )
     toks = tokens(clean_text(raw))
-    by_word = _ordered([(F.array_contains(toks, code), F.lit(code)) for code, _ in V.REGION_WORDS])
+    by_word = _ordered([(F.array_contains(toks, code), F.lit(code)) for code in V.REGION_CODES])
     return F.coalesce(by_flag, by_word)
 
 
