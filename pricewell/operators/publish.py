@@ -278,7 +278,7 @@ def due_channels(channels: DataFrame, now: Column, time_col: str, last_col: str)
     )
 
 
-def read_posts_alive(posts: DataFrame, by: list[str], limit: int = V.POSTS_ALIVE) -> DataFrame:
+def read_posts_alive(posts: DataFrame, by: list[str], limit: int) -> DataFrame:
     """Newest posts of a channel; Spark limits each group before the shuffle."""
     w = Window.partitionBy(*by).orderBy(F.desc("message_id"))
     return posts.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")

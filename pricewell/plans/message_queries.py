@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lines as L, text as T
+from ..functions import lines as L, text as T, vocab as V
 from ..operators import messages as M, windows as W
 from ..sources import readers as R
 from . import bindings as X
@@ -164,11 +164,11 @@ def source_stats(spark, d):
 
 @query("last_messages", "SELECT source AS channel, doc_id AS message_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 200")
 def last_messages(spark, d):
-    return R.last_messages(X.messages(spark, d)).select("channel", "message_id")
+    return R.last_messages(X.messages(spark, d), V.MESSAGES_PER_SOURCE).select("channel", "message_id")
 
 
 @query("new_messages", """WITH seen AS (SELECT source, max(doc_id) AS m FROM documents WHERE doc_id % 5 = 0 AND source <> 'src3' AND doc_id < (SELECT count(*) FROM documents) / 2 GROUP BY 1)
-SELECT d.source AS channel, doc_id AS message_id FROM documents d LEFT JOIN seen USING (source) WHERE doc_id > coalesce(m, 0) QUALIFY row_number() OVER (PARTITION BY d.source ORDER BY doc_id) <= 200""")
+SELECT d.source AS channel, doc_id AS message_id FROM documents d LEFT JOIN seen USING (source) WHERE doc_id > coalesce(m, 0)""")
 def new_messages(spark, d):
     m = X.messages(spark, d)
     half = m.agg((F.count(F.lit(1)) / 2).alias("_h"))
@@ -176,10 +176,10 @@ def new_messages(spark, d):
     return R.read_new_messages(m, seen.select("channel", "message_id")).select("channel", "message_id")
 
 
-@query("source_search", """SELECT c_custkey AS channel_id FROM customer WHERE (contains(lower(c_name), '#00000001') OR contains(lower(c_mktsegment), '#00000001')) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
+@query("source_search", """SELECT c_custkey AS channel_id FROM customer WHERE (contains(lower(c_name), 'machin') OR contains(lower(c_mktsegment), 'machin')) AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def source_search(spark, d):
     dialogs = X.table(spark, d, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS channel_id", "c_name AS title", "c_mktsegment AS username")
-    return R.search_sources(dialogs, "#00000001", X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"))).select("channel_id")
+    return R.search_sources(dialogs, "@Machin", X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("channel_id"))).select("channel_id")
 
 
 @query("visible_sources", "SELECT c_custkey AS channel_id FROM customer WHERE c_nationkey % 2 = 0 OR c_nationkey = 7")

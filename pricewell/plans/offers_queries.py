@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import money as M, vocab as V
+from ..functions import money as M
 from ..functions.text import fmt_price
 from ..operators import catalog as C, match as J, pricing as P, publish as B, rollup as A
 from ..session import cut_lineage
@@ -19,17 +19,19 @@ best AS (SELECT mn.*, w.best_channels FROM mn JOIN (SELECT variant_id, string_ag
 """
 
 
+# The checks state the bands themselves, so that a wrong band in the package shows.
 def margin_sql(c: str) -> str:
-    whens = " ".join(f"WHEN {c} <= {e} THEN {m}::DOUBLE" for e, m in V.RETAIL_MARGIN_BANDS)
-    return f"(CASE {whens} ELSE {V.RETAIL_MARGIN_DEFAULT}::DOUBLE END)"
+    return (f"(CASE WHEN {c} <= 5000 THEN 0.30::DOUBLE WHEN {c} <= 10000 THEN 0.20::DOUBLE WHEN {c} <= 30000 THEN 0.15::DOUBLE WHEN {c} <= 40000 THEN 0.10::DOUBLE "
+            f"WHEN {c} <= 50000 THEN 0.05::DOUBLE WHEN {c} <= 60000 THEN 0.08::DOUBLE WHEN {c} <= 70000 THEN 0.06::DOUBLE WHEN {c} <= 90000 THEN 0.05::DOUBLE ELSE 0.04::DOUBLE END)")
 
 
 def wholesale_sql(c: str) -> str:
-    return f"({c} + CASE " + " ".join(f"WHEN {c} < {e} THEN {s}" for e, s in V.WHOLESALE_STEPS) + f" ELSE {V.WHOLESALE_STEP_TOP} END)"
+    return f"({c} + CASE WHEN {c} < 20000 THEN 300 WHEN {c} < 150000 THEN 500 WHEN {c} < 250000 THEN 1000 ELSE 2000 END)"
 
 
 def retail_sql(c: str) -> str:
-    return f"({c} + CASE " + " ".join(f"WHEN {c} <= {e} THEN {s}" for e, s in V.RETAIL_STEPS) + f" ELSE {V.RETAIL_STEP_TOP} END)"
+    return (f"({c} + CASE WHEN {c} <= 10000 THEN 1500 WHEN {c} <= 25000 THEN 2000 WHEN {c} <= 70000 THEN 3000 WHEN {c} <= 100000 THEN 4000 "
+            f"WHEN {c} <= 200000 THEN 5000 ELSE 20000 END)")
 
 
 def best(spark, d):

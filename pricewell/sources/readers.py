@@ -27,19 +27,19 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "json", stream: boo
     return df.filter(F.trim("message") != "")
 
 
-def last_messages(messages: DataFrame, limit: int = V.MESSAGES_PER_SOURCE) -> DataFrame:
-    """Newest messages of each source; each task passes on at most ``limit`` rows of a source."""
+def last_messages(messages: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` messages of each source; each task passes on at most so many rows of a source."""
     return top_per_group(messages, ["channel"], [F.desc("message_id")], limit)
 
 
-def read_new_messages(messages: DataFrame, seen: DataFrame, limit: int = V.MESSAGES_PER_SOURCE) -> DataFrame:
-    """Messages above the last seen id of their source, oldest first up to the poll limit.
+def read_new_messages(messages: DataFrame, seen: DataFrame, limit: int | None = None) -> DataFrame:
+    """All messages above the last seen id of their source; with ``limit`` the oldest so many of each, the rest with the next poll.
 
     ``seen``: (channel, message_id) of what was already read.
     """
     marks = seen.groupBy("channel").agg(F.max("message_id").alias("_last"))
     new = messages.join(marks, "channel", "left").filter(F.col("message_id") > F.coalesce("_last", F.lit(0))).drop("_last")
-    return top_per_group(new, ["channel"], [F.asc("message_id")], limit)
+    return new if limit is None else top_per_group(new, ["channel"], [F.asc("message_id")], limit)
 
 
 _SOURCE_ITEM = "array<struct<channel_id:bigint,name:string,username:string,account:string,user_id:bigint,type:string>>"
@@ -96,8 +96,10 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return _scan(spark, path, S.PAGES, fmt)
 
 
-def read_posts(spark: SparkSession, path: str, fmt: str = "parquet", alive: int = V.POSTS_ALIVE) -> DataFrame:
-    return top_per_group(_scan(spark, path, S.POSTS, fmt), ["channel_id"], [F.desc("message_id")], alive)
+def read_posts(spark: SparkSession, path: str, fmt: str = "parquet", alive: int | None = None) -> DataFrame:
+    """Posts, with ``alive`` only the newest so many of each channel."""
+    posts = _scan(spark, path, S.POSTS, fmt)
+    return posts if alive is None else top_per_group(posts, ["channel_id"], [F.desc("message_id")], alive)
 
 
 def read_channel_config(spark: SparkSession, path: str) -> DataFrame:
