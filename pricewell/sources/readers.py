@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..functions import vocab as V
 from ..functions.money import coerce_price
 from ..functions.text import null_if_empty
 from ..operators.windows import top_per_group

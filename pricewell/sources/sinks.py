@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import vocab as V
 from ..operators.windows import latest_per_group
@@ -39,3 +39,9 @@ def write_diagnostics(path: str, **tables: DataFrame) -> None:
     """Unmatched rows, collisions and statistics beside the main output."""
     for name, df in tables.items():
         write_table(df, f"{path}/{name}")
+
+
+def reset_tenant(spark: SparkSession, path: str, tenant_id) -> None:
+    """Drops one tenant's part of a table that ``write_tenant`` keeps; other tenants and a table that is not there stay as they are."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/tenant_id={tenant_id}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
