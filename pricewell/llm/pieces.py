@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 # Units a worker keeps, about 300 bytes each; beyond, it starts anew.
-CACHE = 300_000
+CACHE = 500_000
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 NONE = np.iinfo(np.int32).max
 
@@ -98,14 +98,15 @@ class Pieces:
         for t, i in self.symbol.items():
             if len(t) == 1:
                 self.start[ord(t)] = i
-        self.plain = {i for i, k in enumerate(kind) if k == NORMAL}
+        self.name = list(map(str, range(len(kind))))
+        # Ids from here on are ordinary pieces.
+        self.plain = 1 + max(i for i, k in enumerate(kind) if k != NORMAL)
         self.extra = {i: t for t, i in self.symbol.items() if i >= len(self.text)}
         self.fresh()
 
     def fresh(self) -> None:
         self.code: dict[str, int] = {}
         self.ids: list[str] = []
-        self.size: list[int] = []
         self.back: list[str] = []
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +154,12 @@ class Pieces:
             risky = (np.bincount(word[hit], minlength=len(name)) > 1) & self.careful[np.minimum(least, len(self.careful) - 1)]
             ready = (least == NONE) | risky
             hit = hit[~ready[word[hit]]]
-            for w in np.flatnonzero(ready):
-                own = sym[first[w] : first[w + 1]].tolist()
-                done[name[w]] = self.one_by_one(own) if risky[w] else own
+            if ready.any():
+                own, at_end = sym[ready[word]].tolist(), np.cumsum(count[ready])
+                for w, a, z in zip(name[ready].tolist(), (at_end - count[ready]).tolist(), at_end.tolist(), strict=True):
+                    done[w] = own[a:z]
+                for w in name[risky].tolist():
+                    done[w] = self.one_by_one(done[w])
             if len(hit):
                 # Overlapping occurrences (aaa) follow each other: of such a run every second one is merged.
                 start = np.append(True, np.diff(hit) != 1)
@@ -176,8 +180,7 @@ class Pieces:
                 for unit, symbols in zip(stretch, self.merge([s.replace(" ", SPACE) for s in stretch]), strict=True):
                     ids = self.to_ids(symbols)
                     self.code[unit] = len(self.ids)
-                    self.ids.append(" ".join(map(str, ids)))
-                    self.size.append(len(ids))
+                    self.ids.append(" ".join([self.name[k] for k in ids]))
                     self.back.append(self.decode(ids, lead=False))
                 stretch, size = [], 0
             if u is not None:
@@ -198,8 +201,8 @@ class Pieces:
 
     def decode(self, ids: list[int], lead: bool = True) -> str:
         """Text of ids: control pieces are silent, runs of byte pieces are UTF-8; ``lead`` drops the space set before the text."""
-        if all(map(self.plain.__contains__, ids)):
-            text = "".join(map(self.text.__getitem__, ids)).replace(SPACE, " ")
+        if ids and min(ids) >= self.plain:
+            text = "".join([self.text[k] for k in ids]).replace(SPACE, " ")
             return text[1:] if lead and text[:1] == " " else text
         out = []
         raw = bytearray()
@@ -215,22 +218,11 @@ class Pieces:
         text = "".join(out).replace(SPACE, " ")
         return text[1:] if lead and text[:1] == " " else text
 
-    def encode(self, text: str | None) -> tuple[int, str, str]:
-        """(number of ids, ids joined by spaces, decoded text); the end id is the last."""
-        if not text:
-            return 1, str(self.end), ""
-        units = UNIT.findall(" " + text.replace(SPACE, " "))
-        codes = list(map(self.code.get, units))
-        if None in codes:
-            new = list(dict.fromkeys(u for u, c in zip(units, codes, strict=True) if c is None))
-            if len(self.code) + len(new) > CACHE:
-                self.fresh()
-                new = list(dict.fromkeys(units))
-            self.learn(new)
-            codes = list(map(self.code.get, units))
-        ids, size, back = self.ids, self.size, self.back
-        text = "".join([back[c] for c in codes])
-        return sum([size[c] for c in codes]) + 1, " ".join([ids[c] for c in codes]) + f" {self.end}", text[1:] if text[:1] == " " else text
+    def joined(self, codes: list[int]) -> tuple[int, str, str]:
+        """(number of ids, ids joined by spaces, decoded text) of the units of a text; the end id is the last."""
+        ids, back = self.ids, self.back
+        row, text = " ".join([ids[c] for c in codes]), "".join([back[c] for c in codes])
+        return row.count(" ") + 2, f"{row} {self.end}", text[1:] if text[:1] == " " else text
 
 
 _MODELS: dict[str, Pieces] = {}
@@ -247,16 +239,20 @@ BATCH = 200
 
 
 def encode_batch(pieces: Pieces, texts: list) -> list[tuple[int, str, str]]:
+    """(number of ids, ids joined by spaces, decoded text) of each text."""
     out = []
     for i in range(0, len(texts), BATCH):
-        part = texts[i : i + BATCH]
-        known = pieces.code
-        new = list(dict.fromkeys(u for t in part if t for u in UNIT.findall(" " + t.replace(SPACE, " ")) if u not in known))
-        if len(known) + len(new) > CACHE:
+        units = [UNIT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts[i : i + BATCH]]
+        codes = [list(map(pieces.code.get, u)) for u in units]
+        late = [k for k, c in enumerate(codes) if None in c]
+        new = dict.fromkeys(u for k in late for u, c in zip(units[k], codes[k], strict=True) if c is None)
+        if len(pieces.code) + len(new) > CACHE:
             pieces.fresh()
-        elif new:
-            pieces.learn(new)
-        out += [pieces.encode(t) for t in part]
+            late, new = range(len(units)), dict.fromkeys(u for own in units for u in own)
+        pieces.learn(list(new))
+        for k in late:
+            codes[k] = list(map(pieces.code.get, units[k]))
+        out += [pieces.joined(c) if c else (1, str(pieces.end), "") for c in codes]
     return out
 
 
