@@ -272,3 +272,69 @@ def run_stats(spark, d):
 def fanout_plan(spark, d):
     from ..operators.catalog import fanout_plan as plan
     return plan(X.table(spark, d, "customer").selectExpr("c_nationkey AS account", "CASE c_custkey % 3 WHEN 0 THEN 'sent' WHEN 1 THEN 'failed' ELSE 'skipped' END AS status"))
+
+
+# ------------------------------------------------- template, paths, look-ups
+@query("template_extras", """WITH t AS (SELECT p_partkey, p_type AS cat, p_brand AS brand, p_name AS title FROM part), m AS (SELECT cat, brand, bool_or(p_partkey % 3 > 0) AS has FROM t GROUP BY ALL)
+SELECT cat, brand, 0 AS block, p_partkey AS pos, title FROM t WHERE p_partkey % 3 > 0
+UNION ALL SELECT cat, brand, 2, p_partkey, title FROM t WHERE p_partkey % 3 = 0 AND (cat, brand, title) NOT IN (SELECT (cat, brand, title) FROM t WHERE p_partkey % 3 > 0)
+UNION ALL SELECT DISTINCT cat, brand, 1, 0, '' FROM t JOIN m USING (cat, brand) WHERE has AND p_partkey % 3 = 0 AND (cat, brand, title) NOT IN (SELECT (cat, brand, title) FROM t WHERE p_partkey % 3 > 0)""")
+def template_extras(spark, d):
+    """Every third title is priced but missing from its template."""
+    p = X.table(spark, d, "part").selectExpr("p_type AS cat", "p_brand AS brand", "p_partkey AS pos", "p_name AS title")
+    return B.effective_template(p.filter("pos % 3 > 0"), p, ["cat", "brand"]).filter("block < 2 OR pos % 3 = 0").select("cat", "brand", "block", "pos", "title")
+
+
+@query("blank_lines", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || chr(10) || chr(10) || p_brand WHEN 1 THEN p_name || chr(10) || p_brand WHEN 2 THEN p_name ELSE '' END AS text FROM part")
+def blank_lines(spark, d):
+    """Runs of blank lines shrink to one, those at the ends go."""
+    lines = F.expr("CASE p_partkey % 4 WHEN 0 THEN array('', p_name, '', '', '', p_brand) WHEN 1 THEN array(p_name, p_brand, '', '') WHEN 2 THEN array('', '', p_name) ELSE array('', '') END")
+    return X.table(spark, d, "part").select("p_partkey", B.join_lines(lines).alias("text"))
+
+
+@query("model_region_prefix", """WITH v AS (SELECT p_type AS cat, p_brand AS brand, p_name AS title, p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN '🇺🇸' WHEN 1 THEN NULL ELSE '🇯🇵' END AS flag, p_retailprice AS price FROM part),
+m AS (SELECT cat, brand, arg_min(flag, (price, title)) AS flag FROM v WHERE flag IS NOT NULL GROUP BY ALL)
+SELECT k AS p_partkey, CASE WHEN coalesce(v.flag, m.flag) IS NULL THEN title ELSE coalesce(v.flag, m.flag) || ' ' || title END AS title FROM v LEFT JOIN m USING (cat, brand)""")
+def model_region_prefix(spark, d):
+    """Titles take the flags of their own cheapest regions, else of the model's."""
+    v = X.table(spark, d, "part").selectExpr("p_partkey", "p_type AS cat", "p_brand AS brand", "p_name AS title", "p_retailprice AS min_price",
+                                             "CASE p_partkey % 3 WHEN 0 THEN array('us') WHEN 1 THEN CAST(array() AS ARRAY<STRING>) ELSE array('jp') END AS region_min")
+    both = v.join(B.model_regions(v, ["cat", "brand"]), ["cat", "brand"], "left")
+    return both.select("p_partkey", B.with_region_prefix("title", "region_min", "model_region").alias("title"))
+
+
+@query("toggle_paths", "SELECT c_custkey AS channel_id, c_mktsegment || '|' || c_nationkey AS path FROM customer WHERE NOT (c_custkey = 1) UNION ALL SELECT 2, 'NEW'")
+def toggle_paths(spark, d):
+    """A chosen path goes with its subtree, a new one is added."""
+    spec = X.table(spark, d, "customer").selectExpr("c_custkey AS channel_id", "array(c_mktsegment, CAST(c_nationkey AS STRING)) AS spec_path")
+    first = spec.filter("channel_id = 1").first()
+    out = B.toggle_path(B.toggle_path(spec, first.spec_path[:1], 1), ["NEW"], 2)
+    return out.select(F.col("channel_id").cast("bigint").alias("channel_id"), F.array_join("spec_path", "|").alias("path"))
+
+
+@query("swapped_neighbours", """WITH o AS (SELECT p_brand AS brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS pos, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT brand, p_partkey, CASE WHEN n > 2 AND pos = 2 THEN 3 WHEN n > 2 AND pos = 3 THEN 2 ELSE pos END AS pos FROM o""")
+def swapped_neighbours(spark, d):
+    """The second row of every brand moves down."""
+    from ..operators.windows import numbered
+    rows = numbered(X.table(spark, d, "part").selectExpr("p_brand AS brand", "CAST(p_partkey AS BIGINT) AS p_partkey"), ["brand"], "p_partkey", 1000.0, "pos")
+    return B.swap_neighbour(rows.select("brand", "p_partkey", F.col("pos").cast("bigint").alias("pos")), ["brand"], "pos", F.col("pos") == 2, up=False)
+
+
+@query("lookup_defaults", "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'nation' || c_nationkey WHEN c_mktsegment <> 'BUILDING' THEN 'segment' || c_mktsegment ELSE 'all' END AS note FROM customer")
+def lookup_defaults(spark, d):
+    c = X.table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    keys = c.filter("c_nationkey % 2 = 0").selectExpr("CAST(c_nationkey AS STRING) AS key", "concat('nation', c_nationkey) AS note").unionByName(
+        c.filter("c_mktsegment <> 'BUILDING'").selectExpr("c_mktsegment AS key", "concat('segment', c_mktsegment) AS note")).distinct()
+    table = keys.unionByName(spark.sql("SELECT 'default' AS key, 'all' AS note"))
+    return B.lookup_with_default(c, table, ["c_nationkey", "c_mktsegment"], "note").select("c_custkey", "note")
+
+
+@query("models_under_path", f"SELECT {EP['cat']} AS cat, {EP['brand']} AS brand, {EP['series']} AS series, {EP['model']} AS model, min(CAST(floor(p_partkey / {X.VARIANTS_PER_MODEL}) AS INT)) AS place FROM part WHERE {EP['brand']} = 'Samsung' GROUP BY ALL")
+def models_under_path(spark, d):
+    return V.models_under(X.text_catalog(spark, d), ["Планшеты", "Samsung"]).select("cat", "brand", "series", "model", F.col("model_order.model_pos").alias("place"))
+
+
+@query("priced_leaves", f"WITH {PRICED_SQL} SELECT p_partkey AS variant_id, m AS min_price FROM v WHERE m IS NOT NULL")
+def priced_leaves(spark, d):
+    return V.priced_leaves(_priced(spark, d)).select("variant_id", "min_price")
