@@ -452,9 +452,9 @@ def resolve_with_header(lines: DataFrame, alias_index: DataFrame, code_index: Da
     )
     second = open_.join(resolve_texts(open_.select(F.col("parse_line")), alias_index, code_index, "parse_line"), "parse_line")
     found = done.unionByName(second.select(*done.columns))
-    return lines.join(
-        found, lines[text].eqNullSafe(found[text]) & lines[header].eqNullSafe(found[header]), "left"
-    ).drop(found[text]).drop(found[header])
+    # other names: the pairs come from the lines themselves, and an unresolved line must keep its own text
+    found = found.withColumnsRenamed({text: "_text", header: "_header"})
+    return lines.join(found, F.col(text).eqNullSafe(F.col("_text")) & F.col(header).eqNullSafe(F.col("_header")), "left").drop("_text", "_header")
 
 
 def build_offers(lines: DataFrame, alias_index: DataFrame, code_index: DataFrame | None = None,

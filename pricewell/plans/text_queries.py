@@ -233,6 +233,37 @@ def header_resolution(spark, d):
     return R.resolve_with_header(lines, _index(spark, d)).select(*KEYS, "model")
 
 
+# Every model has a seller's code; the line names nothing else.
+def _code(key: str) -> str:
+    return f"concat('MQ', lpad(CAST(CAST(floor({key} / {X.VARIANTS_PER_MODEL}) AS BIGINT) AS VARCHAR(20)), 4, '0'), 'A')"
+
+
+@query("code_resolve", f"SELECT {ID}, {E['model']} AS model FROM lineitem")
+def code_resolve(spark, d):
+    codes = C.build_code_index(X.text_catalog(spark, d).withColumn("code", F.expr(_code("variant_id"))))
+    lines = X.derived(spark, d, text=f"concat({_code('l_partkey')}, ' - ', {X.PRICE_TEXT})")
+    return R.resolve_models(lines, _index(spark, d), cut_lineage(codes)).select(*KEYS, "model")
+
+
+# Every fourth line names nothing of the catalogue.
+SOLD = f"CASE WHEN l_linenumber % 4 = 0 THEN concat('прочее, ', {X.PRICE_TEXT}) ELSE {X.LINE} END"
+
+
+def _sold(spark, d):
+    lines = X.derived(spark, d, text=SOLD, header="CAST(NULL AS STRING)")
+    return R.build_offers(lines, _index(spark, d))
+
+
+@query("offers_from_lines", f"SELECT {ID}, CASE WHEN l_linenumber % 4 > 0 THEN {E['model']} END AS model, CAST({X.PRICE} AS BIGINT) AS price FROM lineitem")
+def offers_from_lines(spark, d):
+    return _sold(spark, d).select(*KEYS, "model", F.col("price").cast("bigint").alias("price"))
+
+
+@query("unmatched_lines", f"SELECT {X.CHANNEL} AS channel, l_orderkey AS message_id, {SOLD} AS raw, 'no_catalog_match' AS reason FROM lineitem WHERE l_linenumber % 4 = 0")
+def unmatched_lines(spark, d):
+    return R.unmatched_lines(_sold(spark, d)).select("channel", "message_id", "raw", "reason")
+
+
 # ------------------------------------------------------------------ matching
 _ATTRS = ["cat", "brand", "series", "model", "storage", "ram", "color", "color_1", "color_2", "colors", "region", "sim", "code", "band_type", "band_color", "band_size",
           "screen_size", "watch_size_mm", "connectivity", "drive", "chip", "year", "anc", "case", "nano_glass", "no_watches", "game"]
