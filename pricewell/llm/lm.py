@@ -5,7 +5,7 @@ hashed entries.  The two tokens before and the two after a place pass an embeddi
 times that inside its class.  A text's score is the sum of the log-probabilities of all its tokens, each given the others around it.
 
 Word counts cover all documents; they give the vocabulary and the starting biases.  The weights start from a bounded sample of documents; then every task goes on
-training on the masked places of all of its documents, and Spark averages the tasks' weights, weighted by their places.
+training on every place of all of its documents, and Spark averages the tasks' weights, weighted by their places.
 """
 
 from __future__ import annotations
@@ -16,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
-from .textarrays import SIGNS, mix, runs, span_hashes, text_bytes, word_spans
+from .textarrays import SIGNS, runs, span_hashes, text_bytes, word_spans
 
 KNOWN, TAIL, CLASS = 4096, 1024, 80
 WIDTH, HIDDEN, SIDE = 16, 32, 2
 #: Documents of the sample the weights start from, those of the least hash, and passes over it.
 SAMPLE, PASSES = 400, 2
-#: In training one place in so many is masked, chosen by a hash of the words around it.
-MASK = 16
-BATCH, RATE = 512, 0.08
+#: Places of a training step: on the sample, and in the pass over all documents.
+BATCH, WIDE = 512, 8192
+RATE = 0.08
 STRETCH = 8192
 # Words whose counts a task holds before it hands them on.
 HELD = 1_000_000
@@ -68,6 +68,11 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _softmax(x):
+    x = np.exp(x - x.max(1, keepdims=True))
+    return x / x.sum(1, keepdims=True)
+
+
 def contexts(ids: np.ndarray, first: np.ndarray, pad: int) -> np.ndarray:
     """(words, 2 SIDE) tokens before and after each word of the rows; ``pad`` beyond a row's edge."""
     wide = np.full(len(ids) + SIDE * len(first), pad)
@@ -95,7 +100,7 @@ def log_probabilities(p: dict, ids: np.ndarray, around: np.ndarray) -> np.ndarra
 
 
 class Trainer:
-    """Adagrad on batches of masked places."""
+    """Adagrad on batches of places."""
 
     def __init__(self, weights: dict):
         self.p = {k: w.copy() for k, w in weights.items()}
@@ -108,20 +113,22 @@ class Trainer:
 
     def step(self, ids: np.ndarray, around: np.ndarray) -> None:
         p, n = self.p, len(ids)
+        # In the order of their classes, the places of a class are a slice.
+        order = np.argsort((ids // CLASS).astype(np.int32), kind="stable")
+        ids, around = ids[order], around[order]
         x = p["emb"][around].reshape(n, -1)
         h = np.tanh(x @ p["w1"] + p["b1"])
         cls, inside = ids // CLASS, ids % CLASS
-        d = np.exp(_log_softmax(h @ p["wc"] + p["bc"]))
+        d = _softmax(h @ p["wc"] + p["bc"])
         d[np.arange(n), cls] -= 1
         dh = d @ p["wc"].T
         grad = {"wc": h.T @ d, "bc": d.sum(0)}
-        order = np.argsort(cls, kind="stable")
-        begin = np.flatnonzero(np.append(True, np.diff(cls[order]) > 0))
+        begin = np.flatnonzero(np.append(True, np.diff(cls) > 0))
         moves = []
         for a, z in zip(begin, np.append(begin[1:], n), strict=True):
-            r, c = order[a:z], cls[order[a]]
-            e = np.exp(_log_softmax(h[r] @ p["ww"][c] + p["bw"][c]))
-            e[np.arange(len(r)), inside[r]] -= 1
+            r, c = slice(a, z), cls[a]
+            e = _softmax(h[r] @ p["ww"][c] + p["bw"][c])
+            e[np.arange(z - a), inside[r]] -= 1
             dh[r] += e @ p["ww"][c].T
             moves.append((c, h[r].T @ e, e.sum(0)))
         du = dh * (1 - h * h)
@@ -139,10 +146,8 @@ class Trainer:
         self.places += n
 
     def learn(self, ids: np.ndarray, around: np.ndarray) -> None:
-        key = mix(around.astype(np.uint64) @ np.array([3, 5, 7, 11][: around.shape[1]], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        masked = np.flatnonzero(key % np.uint64(MASK) == 0)
-        for k in range(0, len(masked), BATCH):
-            self.step(ids[masked[k : k + BATCH]], around[masked[k : k + BATCH]])
+        for k in range(0, len(ids), WIDE):
+            self.step(ids[k : k + WIDE], around[k : k + WIDE])
 
 
 def _word_runs(column):

@@ -67,6 +67,17 @@ def test_gradients(corpus):
         assert full[at] == pytest.approx(slope, rel=1e-3, abs=1e-6), name
 
 
+def test_every_place_is_trained(corpus):
+    v = lm.Vocabulary(np.arange(10, dtype=np.uint64) * 999, np.full(10, 5), 100)
+    ids = np.random.default_rng(1).integers(0, v.size, 2 * lm.WIDE + 77)
+    around = lm.contexts(ids, np.array([0, len(ids)]), v.pad)
+    t = lm.Trainer(lm.start_weights(v))
+    seen = []
+    t.step = lambda own, near: seen.append((own, near))
+    t.learn(ids, around)
+    assert np.array_equal(np.concatenate([a for a, _ in seen]), ids) and np.array_equal(np.concatenate([b for _, b in seen]), around)
+
+
 def test_training_tells_prose_from_noise(spark, corpus):
     rng = random.Random(9)
     noise = [" ".join(rng.sample(t.split(), len(t.split()))) for t in corpus[:60]]
