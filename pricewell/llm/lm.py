@@ -1,10 +1,11 @@
 """Language-model scoring by masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
-A token is a run of ASCII letters, digits and other characters beyond ASCII (A-Z lower-cased); the ``KNOWN`` most frequent words of the corpus have entries of their own, all others share ``TAIL``
-hashed entries.  The two tokens before and the two after a place pass an embedding and a hidden layer; the masked token's probability is that of its class
+A token is a run of ASCII letters, digits and other characters beyond ASCII (A-Z lower-cased); the ``KNOWN`` most frequent words of the corpus have entries of their own in the network, all others share ``TAIL``
+hashed entries, where each has the share that its own count has of its entry's.  The two tokens before and the two after a place pass an embedding and a hidden layer; the masked token's probability is that of its class
 times that inside its class.  A text's score is the sum of the log-probabilities of all its tokens, each given the others around it.
 
-Word counts cover all documents; they give the vocabulary and the starting biases.  The weights start from a bounded sample of documents; then every task goes on
+Word counts cover all documents; they give the vocabulary and the starting biases, and the whole table, which has a row for each distinct word and so grows with
+the corpus, stays in Spark and is joined to the words outside the network's own.  The weights start from a bounded sample of documents; then every task goes on
 training on every place of all of its documents, and Spark averages the tasks' weights, weighted by their places.
 """
 
@@ -16,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
-from .textarrays import SIGNS, runs, span_hashes, text_bytes, word_spans
+from .textarrays import SIGNS, mix, runs, span_hashes, text_bytes, word_spans
 
+# TAIL is a power of two, so that signed and unsigned hashes leave the same rest.
 KNOWN, TAIL, CLASS = 4096, 1024, 80
 WIDTH, HIDDEN, SIDE = 16, 32, 2
 #: Documents of the sample the weights start from, those of the least hash, and passes over it.
@@ -31,16 +33,17 @@ HELD = 1_000_000
 
 
 class Vocabulary:
-    """Entries by corpus frequency; classes are stretches of ``CLASS`` entries."""
+    """Entries by corpus frequency; classes are stretches of ``CLASS`` entries; ``rest``: the count of all other words, as a total or for each shared entry."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, rest: int | np.ndarray):
         order = np.argsort(hashes)
         self.sorted, self.entry = hashes[order], order
         self.known = len(hashes)
         self.size = -(-(self.known + TAIL) // CLASS) * CLASS
         self.counts = np.ones(self.size)
         self.counts[: self.known] += counts
-        self.counts[self.known : self.known + TAIL] += rest / TAIL
+        self.rest = np.full(TAIL, rest / TAIL) if np.ndim(rest) == 0 else rest
+        self.counts[self.known : self.known + TAIL] += self.rest
         self.pad = self.size
 
     def ids(self, words: np.ndarray) -> np.ndarray:
@@ -187,13 +190,21 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, known: int = KNOWN) -> Vocabulary:
-    """The ``known`` most frequent words; ties go by hash."""
-    counts = cut_lineage(count_words(docs))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+def vocabulary_of(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """The ``known`` most frequent words of ``counts``, ties by hash, and what the other words of each shared entry count."""
     top = counts.orderBy(F.desc("n"), "word").limit(known).collect()
     n = np.array([r.n for r in top], np.int64)
-    return Vocabulary(np.array([r.word for r in top], np.int64).view(np.uint64), n, total - int(n.sum()))
+    words = np.array([r.word for r in top], np.int64).view(np.uint64)
+    rest = np.zeros(TAIL)
+    for r in counts.groupBy(F.pmod("word", F.lit(TAIL)).alias("entry")).agg(F.sum("n").alias("n")).collect():
+        rest[r.entry] = r.n
+    rest -= np.bincount((words % np.uint64(TAIL)).astype(np.int64), weights=n, minlength=TAIL)
+    return Vocabulary(words, n, rest)
+
+
+def vocabulary(docs: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """The ``known`` most frequent words; ties go by hash."""
+    return vocabulary_of(cut_lineage(count_words(docs)), known)
 
 
 def train(docs: DataFrame, v: Vocabulary, sample: int = SAMPLE, passes: int = PASSES) -> dict[str, np.ndarray]:
@@ -240,24 +251,55 @@ def train(docs: DataFrame, v: Vocabulary, sample: int = SAMPLE, passes: int = PA
     return out
 
 
-def score(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens, pll (sum of log-probabilities), mean_logp of each text; null and wordless texts have 0 tokens, pll 0 and a null mean."""
+def _lists(row: np.ndarray, words: np.ndarray, rows: int) -> pa.Array:
+    """Distinct words of each row with their counts; a row without words has one of count 0, by its place, so that such rows do not meet under one key."""
+    bare = np.flatnonzero(np.bincount(row, minlength=rows) == 0)
+    row, words, real = np.concatenate([row, bare]), np.concatenate([words, mix(bare)]), np.arange(len(row) + len(bare)) < len(row)
+    order = np.lexsort((words, row))
+    row, words, real = row[order], words[order], real[order]
+    begin = np.flatnonzero(np.append(True, (np.diff(row) > 0) | (words[1:] != words[:-1])))
+    n = np.diff(np.append(begin, len(row))) * real[begin]
+    pairs = pa.StructArray.from_arrays([pa.array(words[begin].view(np.int64)), pa.array(n)], ["word", "k"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[begin], np.arange(rows + 1)), pa.int32()), pairs)
+
+
+def score(docs: DataFrame, v: Vocabulary, weights: dict[str, np.ndarray], counts: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, pll (sum of log-probabilities), mean_logp of each text; null and wordless texts have 0 tokens, pll 0 and a null mean.
+
+    With ``counts``, the table of ``count_words``, a word that shares its entry has the entry's probability times its count over the entry's count plus one,
+    where the one is left for words never seen; without it, words are scored by their entries alone.
+    """
+    with_counts, share = counts is not None, -np.log1p(v.rest)
 
     def run(batches):
         for batch in batches:
             for i, words, first in _word_runs(batch.column("text")):
                 own = v.ids(words)
-                logs = np.concatenate([[0.0], np.cumsum(log_probabilities(weights, own, contexts(own, first, v.pad)))])
+                each = log_probabilities(weights, own, contexts(own, first, v.pad))
                 n = np.diff(first)
+                shared = np.flatnonzero(own >= v.known)
+                if with_counts:
+                    each[shared] += share[own[shared] - v.known]
+                logs = np.concatenate([[0.0], np.cumsum(each)])
                 pll = logs[first[1:]] - logs[first[:-1]]
-                mean = pa.array(pll / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(pll), mean], ["doc_id", "n_tokens", "pll", "mean_logp"])
+                cols = [batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(pll)]
+                if with_counts:
+                    cols.append(_lists(np.repeat(np.arange(len(n)), n)[shared], words[shared], len(n)))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double, mean_logp double")
+    names = ["doc_id", "n_tokens", "pll", *(["tail"] if with_counts else [])]
+    got = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, pll double" + ", tail array<struct<word: long, k: long>>" * with_counts)
+    if with_counts:
+        # One flow from the texts to the sums: a row's number is made once and stays with it.
+        each = got.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "n_tokens", "pll", F.inline("tail"))
+        part = F.when(F.col("k") > 0, F.col("k") * F.log(F.coalesce("n", F.lit(1)).cast("double"))).otherwise(0.0)
+        got = each.join(counts, "word", "left").groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), (F.first("pll") + F.sum(part)).alias("pll"))
+    return got.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_logp"))
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """Train on ``docs`` (doc_id, text; other columns are ignored) and score each of its rows; repeated rows are each scored, an empty table gives none."""
-    v = vocabulary(docs)
-    return score(docs, v, train(docs, v))
+    counts = cut_lineage(count_words(docs))
+    v = vocabulary_of(counts)
+    return score(docs, v, train(docs, v), counts)

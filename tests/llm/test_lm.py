@@ -96,5 +96,29 @@ def test_training_tells_prose_from_noise(spark, corpus):
     assert sum(r.pll < by[r.doc_id].pll for r in shuffled) >= 55
 
 
+def test_rare_words_have_their_own_counts(spark, corpus):
+    names = [f"w{k}" for k in range(6000)]
+    hashes = next(iter(lm._word_runs(pa.array([" ".join(names)]))))[1]
+    by_entry = {}
+    for name, h in zip(names, hashes.tolist(), strict=True):
+        by_entry.setdefault(h % lm.TAIL, []).append(name)
+    rare, noise = next(x for x in by_entry.values() if len(x) > 1)[:2]
+    texts = [*corpus[:20], *[f"the {rare} of"] * 9, f"the {noise} of", "", "the of", None, f"{rare} {noise} {rare}"]
+    docs = spark.createDataFrame([(i if i else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = lm.count_words(docs)
+    v = lm.vocabulary_of(counts, known=20)
+    assert v.rest.sum() == 13 and (v.rest > 0).sum() == 1
+    p = lm.start_weights(v)
+    plain = {r.doc_id: r for r in lm.score(docs, v, p).collect()}
+    got = {r.doc_id: r for r in lm.score(docs, v, p, counts).collect()}
+    assert len(got) == len(plain) == len(texts)
+    n = {rare: 11, noise: 2}
+    for i, t in enumerate(texts):
+        a, b = plain[i or None], got[i or None]
+        gap = sum(np.log(n[w] / 14) for w in (t or "").split() if w in n)
+        assert b.n_tokens == a.n_tokens and b.pll == pytest.approx(a.pll + gap) and (b.mean_logp is None) == (not b.n_tokens)
+    assert plain[20].pll == pytest.approx(plain[29].pll) and got[20].pll > got[29].pll + 1
+
+
 def test_empty(spark):
     assert lm.pseudo_likelihood(spark.createDataFrame([], "doc_id long, text string")).count() == 0
