@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,16 @@ from pricewell.llm.common import shared_dir, table
 from pricewell.llm.queries import piece_model
 
 
+# Log-likelihood per trigram of a text whose trigrams fall on all buckets alike; a text below it fits the languages worse than no language at all.
+LEAST_FIT = -math.log(langid.BUCKETS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts without a letter go."""
+    """Documents in the learned languages: texts without a letter go, and those that fit worse than ``LEAST_FIT``; if no language was learned, all with a letter stay."""
     langs, weights = langid.fit(docs, F.lit(True))
-    return langid.predict(docs, langs, weights).where(F.col("_lang_pred") != langid.UND).select(docs.columns)
+    if not langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return langid.predict(docs, langs, weights).where((F.col("_lang_pred") != langid.UND) & (F.col("_fit") >= LEAST_FIT)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,23 @@ def test_stages(spark, home):
     assert {r.doc_id: r.ids for r in whole} == want
 
 
+def test_language_rejects_by_the_model(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(prose(lang, 60)), lang) for i, lang in enumerate(["en", "fr"] * 300)]
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(40)) for _ in range(20)]
+    rows += [(1000 + i, t, None) for i, t in enumerate([*noise, "12 34 x !! 99", "12 34 !!", None, " ".join(prose("en", 40))])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()}
+    assert kept == {*range(600), 1023}
+
+
+def test_language_without_labels(spark):
+    rows = [(1, "the of and"), (2, "12 34 !!"), (3, "\u00e9"), (4, ""), (5, None), (None, "of")]
+    for lang, doc_id in (("NULL", "doc_id"), ("'en'", "CAST(NULL AS long)")):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(f"{doc_id} AS doc_id", "text", f"CAST({lang} AS string) AS lang")
+        assert sorted(r.text for r in corpus_pipeline.language(spark, docs, "").collect()) == ["of", "the of and", "\u00e9"]
+
+
 def test_empty(spark, home, tmp_path):
     path, _, _ = home
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
