@@ -179,6 +179,78 @@ def links(text: str, at: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]
     return e[:, :2], e[:, 2]
 
 
+_GROUP = re.compile(r"[0-9().+-]*[0-9][0-9().+-]*")
+
+
+def later(text: str, base) -> list[tuple[tuple[int, int], tuple[int, int, int]]]:
+    """(span, base span) of the mentions that no single token shows: number groups whose joined digits end a base card or phone number (after a trunk zero, if
+    any), and words that are the name of a base e-mail.  A token of 7 digits stands alone, as in ``links``."""
+    names, ends = {}, {}
+    for s in base:
+        word = text[s[1] : s[2]]
+        if s[0] == 0 and not _MARK.search(user := word.split("@")[0].lower()) and len(re.sub(r"[\W_]", "", user)) >= LONG:
+            names.setdefault(user, s)
+        digits = re.sub(r"\D", "", word) if s[0] > 1 else ""
+        for n in range(7, len(digits) + 1):
+            ends.setdefault(digits[-n:], s)
+    out, run = [], []
+    if not names and not ends:
+        return out
+    covered, k = sorted((a, z) for _, a, z in base), 0
+
+    def close():
+        i = 0
+        while i < len(run):
+            digits, found = "", 0
+            for j in range(i, len(run)):
+                own = re.sub(r"\D", "", text[run[j][0] : run[j][1]])
+                digits += own
+                if j > i and len(own) >= 7 or len(digits) > 20:
+                    break
+                got = ends.get(digits) or ends.get(digits.lstrip("0"))
+                if got and (j > i or " " in text[got[1] : got[2]]):
+                    found, to = j + 1, got
+                if len(own) >= 7:
+                    break
+            if found:
+                out.append(((run[i][0], run[found - 1][1]), to))
+            i = max(found, i + 1)
+        run.clear()
+
+    for m in _WORD.finditer(text):
+        left = len(m[0]) - len(m[0].lstrip(_EDGE))
+        core = m[0].strip(_EDGE)
+        a, z = m.start() + left, m.start() + left + len(core)
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        inside = k < len(covered) and covered[k][0] < m.end()
+        number = bool(core) and not inside and bool(_GROUP.fullmatch(core))
+        if run and not (number and m.start() - run[-1][2] == 1):
+            close()
+        if number:
+            run.append((a, z, m.end()))
+        elif core and not inside and core.lower() in names:
+            out.append(((a, z), names[core.lower()]))
+    close()
+    return out
+
+
+def graph(text: str, base) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Nodes and edges of the field: the tokens and their links, then the nodes of ``later``, each linked to a node of its whole base span."""
+    at = tokens(text)
+    ends, kind = links(text, at)
+    more, edges, known = [], [], {}
+    for span, whole in later(text, base):
+        if whole not in known:
+            known[whole] = len(at) + len(more)
+            more.append(whole[1:])
+        edges.append((known[whole], len(at) + len(more)))
+        more.append(span)
+    if not more:
+        return at, ends, kind
+    return at + more, np.concatenate([ends, np.array(edges)]), np.concatenate([kind, np.full(len(edges), 2)])
+
+
 def _normal(x: np.ndarray) -> np.ndarray:
     x = x - x.max(-1, keepdims=True)
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
@@ -225,7 +297,7 @@ def mention(text: str, span: tuple[int, int, int]) -> str | None:
     word = text[span[1] : span[2]]
     if span[0] == 0:
         user = word.split("@")[0]
-        return user if _MARK.search(user) and len(user) >= LONG else None
+        return user if len(re.sub(r"[\W_]", "", user)) >= LONG else None
     if span[0] == 2:
         return re.sub(r"\D", "", word)[-8:]
     return word.split(" ", 1)[-1].lstrip("+") if span[0] == 3 else None
@@ -251,8 +323,9 @@ def train(texts: list[str], seed: int = 3) -> Field:
     docs = []
     for text in texts:
         for own, gold in examples(text, rng) if tokens(text) else []:
-            at = tokens(own)
-            docs.append((evidence(own, at, base_spans(own)), *links(own, at), labels_of(gold, at)))
+            seen = base_spans(own)
+            at, ends, kind = graph(own, seen)
+            docs.append((evidence(own, at, seen), ends, kind, labels_of(gold, at)))
     for epoch in range(EPOCHS):
         rate = 0.2 / (1 + epoch)
         for d in rng.permutation(len(docs)):
@@ -278,22 +351,24 @@ def all_spans(text: str, field: Field, sure: float = SURE) -> tuple[list, list]:
     """(base spans, spans with the field's): a token that no base span touches joins if its marginal of a kind passes ``sure`` and it has a twin, direct or
     by way of others, of that kind among the base spans."""
     base = base_spans(text)
-    at = tokens(text)
-    if not at or not base:
+    if not base:
         # Without one known entity there is no twin to agree with.
         return base, base
+    at, ends, kind = graph(text, base)
+    if not at:
+        return base, base
     seen = evidence(text, at, base)
-    ends, kind = links(text, at)
     logs, _ = propagate(field.scores([own + form for own, form in seen]), ends, field.pair[kind])
     known = labels_of(base, at)
     best = logs[:, :OUTSIDE].argmax(1)
     group = list(range(len(at)))
     for i, j in ends[kind > 0].tolist():
-        # Edges run forward, so an earlier root is final.
+        # Edges run forward, then to the nodes of ``later``, so an earlier root is final.
         group[j] = group[i]
     kinds = {(group[i], int(known[i])) for i in range(len(at))}
     added = [(int(best[i]), *at[i]) for i in range(len(at)) if known[i] == OUTSIDE and (group[i], int(best[i])) in kinds and np.exp(logs[i, best[i]]) >= sure]
-    return base, base + added
+    # A node of ``later`` may have the span of a token.
+    return base, base + list(dict.fromkeys(added))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:

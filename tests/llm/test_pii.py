@@ -74,6 +74,24 @@ def test_twins():
     assert pii.masked(text, spans).count("[PHONE]") == 2
 
 
+def test_twins_of_groups_and_names():
+    rng, cards = random.Random(4), []
+    while len(cards) < 150:
+        d = str(rng.randrange(4 * 10**15, 5 * 10**15))
+        if pii.luhn(d):
+            cards.append(f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}")
+    field = pii.train(planted(300) + [f"erea onth the {c} again reha onth the with erea" for c in cards] + [re.sub(r"\.[0-9]+@", ".erea@", t) for t in planted(150)])
+    for text, want in (
+        ("pay 4532 0151 1283 0366 soon, erea onth the again with 12830366 ok", ["12830366"]),
+        ("pay 4532 0151 1283 0366 soon, erea onth the again with 1283 0366 ok", ["1283 0366"]),
+        ("call +49 30 1234 5678 soon, erea onth the again at 030 1234 5678 or 8765 4321", ["030 1234 5678"]),
+        ("mail john.doe@x.com soon, erea onth the again John.Doe or john", ["John.Doe"]),
+    ):
+        base, spans = pii.all_spans(text, field)
+        assert len(base) == 1 and [text[a:z] for _, a, z in spans[1:]] == want, text
+        assert {k for k, *_ in spans} == {base[0][0]}
+
+
 def test_documents(docs_of):
     texts = [None, "", "plain words only", "mail a.b@c.de, mail a.b@c.de", "ip 10.0.0.1 é 300.1.1.1", "x " * 5000 + "4532015112830366"]
     docs = docs_of(texts + texts[3:4], extra=["'x' AS spans", "2 AS n_email"])
