@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, shared_dir
 
-__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "bucket_cuts", "bucket_of", "least_hashed", "UPPER", "LOWER"]
+__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "bucket_cuts", "remove", "bucket_of", "least_hashed", "UPPER", "LOWER"]
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -85,3 +85,10 @@ def least_hashed(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:
         w = Window.partitionBy(*part).orderBy("_h", key)
         rows = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     return rows.drop("_h", "_slice", "_n")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system that this job wrote; one that is not there is no error."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

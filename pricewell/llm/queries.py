@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, fingerprints, langid, lm, neardup, pieces, pii, toxicity, urls
+from . import chat, collocations, decontam, fingerprints, langid, lm, neardup, pieces, pii, toxicity, urls
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -124,3 +124,28 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_masked_pseudo_likelihood")
 def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+# Occurrences of 1 to 4 words inside pieces, per lang; every cut of a candidate; those inside a longer one with 80 % of the count are left out.
+COLLOCATION_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+c AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, array_to_string(unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])), ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+x AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT x.*, unnest(range(1, k)) AS cut FROM x),
+s AS (SELECT u.lang, u.phrase, u.k, u.a, u.cut, y.a AS l, z.a AS r, CAST(CAST(2000000 AS HUGEINT) * u.a // (CAST(y.a AS HUGEINT) + z.a) AS BIGINT) AS score FROM u
+  JOIN f y ON y.lang = u.lang AND y.phrase = array_to_string(u.w[1:u.cut], ' ') JOIN f z ON z.lang = u.lang AND z.phrase = array_to_string(u.w[u.cut + 1:], ' ')),
+b AS (SELECT lang, phrase, any_value(k) AS k, any_value(a) AS a, arg_min(l, (score, cut)) AS l, arg_min(r, (score, cut)) AS r, min(score) AS score FROM s GROUP BY lang, phrase),
+i AS (SELECT lang, array_to_string(w[o:o + m - 1], ' ') AS phrase, max(a) AS outer_a FROM x, (SELECT unnest([1, 2, 3]) AS o), (SELECT unnest([2, 3]) AS m) WHERE m < k AND o + m - 1 <= k GROUP BY ALL),
+t AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.outer_a IS NULL OR 100 * i.outer_a < 80 * b.a)
+SELECT t.lang, rank, phrase, a, l, r, c.n, score FROM t JOIN c ON c.lang = t.lang WHERE rank <= 2000"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

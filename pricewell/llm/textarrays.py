@@ -36,6 +36,16 @@ SIGNS = np.ones(256, bool)
 SIGNS[48:58] = SIGNS[65:91] = SIGNS[97:123] = SIGNS[128:] = False
 
 
+LOWER_BYTES = _LOWER
+
+
+def gather_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans of bytes as strings."""
+    off = np.concatenate([[0], np.cumsum(ends - starts)])
+    data = buf[np.repeat(starts - off[:-1], ends - starts) + np.arange(off[-1])]
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(off), pa.py_buffer(data)]).cast(pa.string())
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
