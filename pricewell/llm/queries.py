@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, collocations, decontam, fingerprints, langid, lm, neardup, pieces, pii, toxicity, urls
+from . import alignment, chat, collocations, decontam, fingerprints, langid, lm, neardup, pieces, pii, toxicity, urls, warc
 from .common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -47,11 +48,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
-def piece_model() -> str:
+def piece_model(name: str = PIECE_MODEL) -> str:
     """Path of the given model, which the machines of a cluster have installed like the library itself."""
     import public_tokenizers
 
-    return public_tokenizers.path(PIECE_MODEL)
+    return public_tokenizers.path(name)
 
 
 @query("op5_sentencepiece")
@@ -130,7 +131,8 @@ def op8_masked_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 COLLOCATION_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 c AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
 g AS (SELECT lang, k, array_to_string(unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])), ' ') AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
@@ -149,3 +151,22 @@ SELECT t.lang, rank, phrase, a, l, r, c.n, score FROM t JOIN c ON c.lang = t.lan
 @query("op11_collocations", COLLOCATION_SQL)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# Digests in base32: 32 characters of five bits, taken from eight groups of five hexadecimal digits.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+r AS (SELECT *, row_number() OVER w AS pos, first_value(page_id) OVER w AS lead FROM p WINDOW w AS (PARTITION BY x ORDER BY page_id NULLS LAST, url))
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN pos = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN pos > 1 THEN lead END AS refers_to FROM r"""
+
+
+@query("op12_warc", WARC_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), piece_model(BYTE_MODEL), piece_model())
