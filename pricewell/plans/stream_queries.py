@@ -31,10 +31,14 @@ def classify_messages(spark, d):
     return Q.classify_messages(m).select("channel", "message_id", "part_no", "msg_class")
 
 
-@query("classify_conversations", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(sell|selling)($|[^\p{L}\p{N}_])') THEN 'spam' WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(buy|looking\s*for|need|lf|wtb)($|[^\p{L}\p{N}_])') THEN 'product'
+# The class of each user turn; also part of the SQL of the answering stream.
+ORACLES_OF_CLASSES = r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(sell|selling)($|[^\p{L}\p{N}_])') THEN 'spam' WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(buy|looking\s*for|need|lf|wtb)($|[^\p{L}\p{N}_])') THEN 'product'
  WHEN len(list_filter(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_matches(x, '\b\d{4,}(?:[.,]\d+)?\s*$'))) >= 3 THEN 'spam'
  WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(broadcast|crypto|btc)($|[^\p{L}\p{N}_])') OR regexp_matches(text, 'https?://|t\.me/|@[\p{L}\p{N}_]+') OR regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(id|photo\s*id|usd)($|[^\p{L}\p{N}_])') THEN 'spam'
- WHEN regexp_matches(lower(text), 'iphone|samsung|xiaomi|redmi|realme|oneplus|huawei|honor|google|pixel|oppo|vivo|tecno|infinix|airpods|watch|ipad|whoop|macbook|imac|mac mini|mac studio|pencil|magic mouse|magic keyboard|playstation|ps5|dualsense|xbox|switch|beats|plaud|yandex') THEN 'product' ELSE 'spam' END AS msg_class FROM conversations WHERE role = 'user'""")
+ WHEN regexp_matches(lower(text), 'iphone|samsung|xiaomi|redmi|realme|oneplus|huawei|honor|google|pixel|oppo|vivo|tecno|infinix|airpods|watch|ipad|whoop|macbook|imac|mac mini|mac studio|pencil|magic mouse|magic keyboard|playstation|ps5|dualsense|xbox|switch|beats|plaud|yandex') THEN 'product' ELSE 'spam' END AS msg_class FROM conversations WHERE role = 'user'"""
+
+
+@query("classify_conversations", ORACLES_OF_CLASSES)
 def classify_conversations(spark, d):
     c = spread(X.table(spark, d, "conversations").filter("role = 'user'"))
     return Q.classify_messages(c).select("conv_id", "turn", "msg_class")
