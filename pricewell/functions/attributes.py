@@ -148,7 +148,7 @@ def _color_key(phrase: str) -> str:
 
 def default_color_phrases() -> list[tuple[str, str]]:
     """(phrase, colour) pairs: other words first, then the colours by their own names."""
-    return [(word, color) for color, words in V.COLOR_WORDS.items() for word in words] + [(c, c) for c in V.COLORS]
+    return [*V.COLOR_OF.items(), *((c, c) for c in V.COLORS)]
 
 
 @lru_cache(maxsize=8)
@@ -163,7 +163,7 @@ def _color_table(phrases: tuple | None):
     return table
 
 
-def colors_of(col, limit: int = 5, phrases: tuple | None = None) -> Column:
+def colors_of(col, limit: int | None = None, phrases: tuple | None = None) -> Column:
     """Distinct colours of a text, longest phrase first.
 
     One look-ahead alternation finds the longest phrase starting at every token;
@@ -185,7 +185,8 @@ def colors_of(col, limit: int = 5, phrases: tuple | None = None) -> Column:
     found = F.regexp_extract_all(clean_text(col), F.lit(pattern), F.lit(1))
     keys = F.transform(found, lambda m: F.regexp_replace(F.lower(m), sep, " "))
     ranked = F.array_sort(F.flatten(F.transform(keys, lambda k: F.try_element_at(lookup, k))))
-    return F.slice(F.array_distinct(F.transform(ranked, lambda x: x["color"])), 1, limit)
+    found = F.array_distinct(F.transform(ranked, lambda x: x["color"]))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def line_colors(col, phrases: tuple | None = None) -> Column:
@@ -194,7 +195,7 @@ def line_colors(col, phrases: tuple | None = None) -> Column:
         clean_text(col), r"(?iU)\btitanium\s+(black|gray|grey|violet|yellow|blue|white|green|orange|red)\b", 1
     ))
     name = F.initcap(F.when(tail == "grey", F.lit("gray")).otherwise(tail))
-    return F.when(tail != "", F.array(F.concat(F.lit("Titanium "), name))).otherwise(colors_of(col, 5, phrases))
+    return F.when(tail != "", F.array(F.concat(F.lit("Titanium "), name))).otherwise(colors_of(col, phrases=phrases))
 
 
 def canon_color(col) -> Column:

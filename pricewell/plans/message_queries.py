@@ -164,7 +164,7 @@ def source_stats(spark, d):
 
 @query("last_messages", "SELECT source AS channel, doc_id AS message_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) <= 200")
 def last_messages(spark, d):
-    return R.last_messages(X.messages(spark, d), V.MESSAGES_PER_SOURCE).select("channel", "message_id")
+    return R.last_messages(X.messages(spark, d), 200).select("channel", "message_id")
 
 
 @query("new_messages", """WITH seen AS (SELECT source, max(doc_id) AS m FROM documents WHERE doc_id % 5 = 0 AND source <> 'src3' AND doc_id < (SELECT count(*) FROM documents) / 2 GROUP BY 1)
