@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shared_dir
+from .. import session
+from ..session import shared_dir
 
-__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "bucket_cuts", "remove", "bucket_of", "least_hashed", "UPPER", "LOWER"]
+__all__ = ["table", "whole", "words", "let", "ascii_lower", "cut_lineage", "shared_dir", "release", "bucket_cuts", "remove", "bucket_of", "least_hashed", "UPPER", "LOWER"]
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -20,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; the shuffle files it was made from go at once, not when the driver collects its garbage."""
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return session.cut_lineage(df)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the checkpoints of frames from ``cut_lineage`` that nothing reads any more."""
+    for df in frames:
+        at = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if at.isDefined():
+            remove(df.sparkSession, at.get())
+
+
 def whole(text: Column) -> Column:
     """The text, null as empty."""
     return F.coalesce(text, F.lit(""))
