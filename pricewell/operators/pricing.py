@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import money as M
 from ..functions.text import null_if_empty
+from .trees import nearest_mark, path_key, path_prefixes
 
 
 def price_variants(df: DataFrame, cost: str = "min_price") -> DataFrame:
@@ -37,31 +38,17 @@ def resolve_channel_rule(channels: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def path_prefixes(path: Column) -> Column:
-    """array<struct(depth, key)> of all prefixes of a path array."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size(path)),
-        lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(path, F.lit(1), n), "|").alias("key")),
-    )
-
-
 def resolve_markup(df: DataFrame, overrides: DataFrame, path: str = "path", nearest: bool = True) -> DataFrame:
     """Mark-up of a row: the override of its path, else of its nearest ancestor, else the channel default.
 
-    Equality joins on path keys, deepest level first; ``nearest=False`` looks at
-    the full path only.  ``overrides``: (channel_id, path_key, value).
+    Any depth; ``nearest=False`` looks at the full path only.  ``overrides``: (channel_id, path_key, value).
     """
-    cols = df.columns
-    p = F.col(path)
-    ov = overrides.select("channel_id", F.col("path_key").alias("_key"), F.col("value").alias("_v"))
-    out = df
-    depths = [4, 3, 2, 1] if nearest else [4]
-    for d in depths:
-        key = F.when(F.size(p) >= d, F.array_join(F.slice(p, 1, d), "|")) if nearest else F.array_join(p, "|")
-        out = out.withColumn("_key", key).join(
-            ov.withColumnRenamed("_v", f"_v{d}"), ["channel_id", "_key"], "left"
-        ).drop("_key")
-    return out.select(*cols, F.coalesce(*[f"_v{d}" for d in depths], "markup_default", F.lit(0.0)).alias("markup"))
+    if nearest:
+        out = nearest_mark(df, overrides, ["channel_id"], path, out="_v")
+    else:
+        own = overrides.groupBy("channel_id", F.col("path_key").alias("_key")).agg(F.max("value").alias("_v"))
+        out = df.withColumn("_key", path_key(path)).join(own, ["channel_id", "_key"], "left")
+    return out.select(*df.columns, F.coalesce("_v", "markup_default", F.lit(0.0)).alias("markup"))
 
 
 def apply_markup(df: DataFrame, price: str = "min_price", out: str = "sell_price") -> DataFrame:

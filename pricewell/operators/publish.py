@@ -7,42 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import vocab as V
 from ..functions.attributes import region_of, regions_to_flags
 from ..functions.text import fmt_price, post_titles
-from .pricing import path_prefixes
+from .trees import chosen_rows
 
 
 # ------------------------------------------------------------- path prefixes
-def path_prefix_match(df: DataFrame, spec: DataFrame, by: list[str], path: str = "path", spec_path: str = "spec_path") -> DataFrame:
-    """Rows whose path and some chosen path are prefixes of one another.
-
-    A chosen path above the row equals one of the row's prefixes; one below it
-    has the row's path among its own prefixes.  Both are equality joins.  A
-    group of ``by`` without any choice keeps all its rows.
-    """
-    keys = spec.select(*by, F.explode(path_prefixes(F.col(spec_path))).alias("_p"), F.size(spec_path).alias("_len"))
-    keys = keys.select(*by, F.col("_p.key").alias("_key"), (F.col("_p.depth") == F.col("_len")).alias("_full"))
-    full = keys.filter("_full").select(*by, "_key").distinct()
-    above = keys.filter("NOT _full").select(*by, "_key").distinct()
-    chosen = spec.select(*by).distinct() if by else None
-    p = F.col(path)
-    out = df
-    hits = []
-    for d in (1, 2, 3, 4):
-        out = out.withColumn("_key", F.when(F.size(p) >= d, F.array_join(F.slice(p, 1, d), "|"))).join(
-            full.withColumn(f"_h{d}", F.lit(True)), [*by, "_key"], "left"
-        ).drop("_key")
-        hits.append(F.col(f"_h{d}"))
-    out = out.withColumn("_key", F.array_join(p, "|")).join(
-        above.withColumn("_h0", F.lit(True)), [*by, "_key"], "left"
-    ).drop("_key")
-    hits.append(F.col("_h0"))
-    if by:
-        out = out.join(chosen.withColumn("_any", F.lit(True)), by, "left")
-        hits.append(F.col("_any").isNull())
-    else:
-        none = spec.agg((F.count(F.lit(1)) == 0).alias("_none"))
-        out = out.crossJoin(F.broadcast(none))
-        hits.append(F.col("_none"))
-    return out.filter(F.coalesce(*hits, F.lit(False))).select(*df.columns)
+path_prefix_match = chosen_rows
 
 
 def toggle_path(spec: DataFrame, path: list[str], channel_id) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import attributes as A, money as M, text as T
-from ..operators import catalog as C, match as J, resolve as R, rollup
+from ..operators import catalog as C, match as J, phrases as PH, resolve as R, rollup
 from ..session import cut_lineage, spread
 from . import bindings as X
 from .registry import query
@@ -388,3 +388,17 @@ def regions_at_min(spark, d):
     o = X.offer_lines(spark, d).selectExpr("true_variant AS variant_id", "true_price AS price", "text AS raw", "seq")
     best = o.groupBy("variant_id").agg(F.min("price").alias("min_price"))
     return rollup.regions_at_min(o, ["variant_id"], best).select("variant_id", "min_price", F.array_join("region_min", ",").alias("regions"))
+
+
+# -------------------------------------------------------------------- phrases
+# Every sentence part of the benchmark, looked for in every document; the check tries each pair.
+PARTS_SQL = "SELECT item_id * 1000 + i AS phrase_id, trim(ps[i]) AS phrase FROM (SELECT item_id, string_split(replace(text, ',', '.'), '.') AS ps, unnest(range(1, len(string_split(replace(text, ',', '.'), '.')) + 1)) AS i FROM benchmark) WHERE trim(ps[i]) <> ''"
+
+
+@query("phrase_hits", f"""WITH p AS ({PARTS_SQL}), q AS (SELECT phrase_id, '[^a-z0-9]' || array_to_string(list_transform(list_filter(string_split(lower(phrase), ' '), lambda w: w <> ''), lambda w: regexp_escape(w)), '[\\s._-]+') || '[^a-z0-9]' AS pattern FROM p)
+SELECT d.doc_id, q.phrase_id FROM documents d, q WHERE d.text IS NOT NULL AND regexp_matches(' ' || lower(d.text) || ' ', q.pattern)""")
+def phrase_hits(spark, d):
+    cut = F.split(F.translate("text", ",", "."), r"\.")
+    parts = X.table(spark, d, "benchmark").select("item_id", F.posexplode(cut).alias("i", "phrase")).filter("trim(phrase) <> ''")
+    parts = parts.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("phrase_id"), "phrase")
+    return PH.phrase_hits(spread(X.table(spark, d, "documents")), parts, "doc_id")
