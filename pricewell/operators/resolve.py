@@ -65,17 +65,7 @@ def _exact_rules(text: Column) -> list[tuple[Column, Column]]:
 
 def _station_rules(toks: Column) -> list[tuple[Column, Column]]:
     """Speaker names without their brand."""
-    named = [
-        (_has(toks, "дуо") & _has(toks, "макс"), "яндексстанция дуо макс"),
-        (_has(toks, "макс"), "яндексстанция макс"),
-        (_has(toks, "миди"), "яндексстанция миди"),
-        (_has(toks, "лайт"), "яндексстанция лайт 2"),
-        (_has(toks, "мини") & _has(toks, "про"), "яндексстанция мини 3 про"),
-        (_has(toks, "мини"), "яндексстанция мини 3"),
-        (_has(toks, "станция") & _has(toks, "3"), "яндексстанция 3"),
-        (_has(toks, "станция") & _has(toks, "2"), "яндексстанция 2"),
-    ]
-    return [(g, F.lit(k)) for g, k in named]
+    return [(F.size(F.array_except(_words(*words), toks)) == 0, F.lit(name)) for words, name in V.STATION_NAMES]
 
 
 def _shorthand_rules(p: str) -> list[tuple[Column, Column]]:
@@ -145,35 +135,24 @@ def _shorthand_rules(p: str) -> list[tuple[Column, Column]]:
     )
     short_samsung = rx(nb_first, r"^(s\d{1,2}|a\d{1,3}|z|fold|flip|galaxy)$")
     no_galaxy = ~_has(no_brand, "samsung", "galaxy")
-    return [
-        (tabletish, focus),
-        (first == "samsung", no_brand),
-        *[(watchish, as_tokens(v)) for v in (aw, ultra, series, series_no, mm)],
-        ((first == "poco") & rx(_first(rest), r"^[fxm]\d+$"), join(_words("poco"), F.array(F.substring(_first(rest), 1, 1)), rest)),
-        (iphone_style | iphone_implied, join(_words("iphone"), toks)),
-        *[(watch_number, join(_words(*w), toks)) for w in (["watch"], ["apple", "watch"], ["watch", "series"], ["apple", "watch", "series"])],
-        *[(watch_family, join(_words(*w), toks)) for w in (["watch"], ["apple", "watch"])],
-        *[(air_phone & F.col(p + "_sim").isNotNull(), join(_words(*w), toks)) for w in (["17"], ["iphone", "17"])],
-        (_has(toks, "ipad") & _has(toks, "pro") & sized,
-         join(_words("ipad", "pro"), F.array(size_tok), F.filter(toks, lambda t: ~t.isin("ipad", "pro") & (t != size_tok)))),
-        *[((first == w) & sized & chip_tok.isNotNull() & wifi, join(_words("ipad", w), rest)) for w in ("air",)],
-        *[(_has(toks, "air") & sized & wifi, F.array_compact(join(_words("ipad", "air"), F.array(size_tok, chip_tok))))],
-        *[((first == w) & sized & chip_tok.isNotNull() & wifi, join(_words("ipad", w), rest)) for w in ("pro",)],
-        *[(_has(toks, "pro") & sized & wifi, F.array_compact(join(_words("ipad", "pro"), F.array(size_tok, chip_tok))))],
-        *[(air_phone & has_storage, join(_words(*w), rest)) for w in (["iphone", "17", "air"], ["17", "air"])],
-        *[(has_memory & (first == "note"), join(_words(*w), toks))
-          for w in (["redmi"], ["xiaomi", "redmi"], ["redmi", "note"], ["xiaomi", "redmi", "note"])],
-        (has_memory & (first == "poco"), join(_words("xiaomi"), toks)),
-        *[(has_memory & rx(first, r"^[xfmc]\d{1,2}[a-z]?$"), join(_words(*w), toks)) for w in (["poco"], ["xiaomi", "poco"])],
-        *[(has_memory & rx(first, r"^a\d{1,3}$"), join(_words(*w), toks)) for w in (["galaxy", "a"], ["samsung", "galaxy", "a"])],
-        *[(has_memory & short_samsung & no_galaxy, join(_words(*w), no_brand))
-          for w in (["galaxy"], ["samsung", "galaxy"], ["samsung"])],
-        *[(has_memory & nb_first.isin("z", "fold", "flip"), join(_words(*w), no_brand))
-          for w in (["galaxy", "z"], ["samsung", "galaxy", "z"])],
-        (implied, join(implied_tokens, toks)),
-        (implied, implied_tokens),
-        (implied, join(_behind_first(implied_tokens), toks)),
-    ]
+    guards = {
+        "tablet": tabletish, "samsung": first == "samsung", "watch": watchish, "poco code": (first == "poco") & rx(_first(rest), r"^[fxm]\d+$"),
+        "iphone": iphone_style | iphone_implied, "watch number": watch_number, "watch family": watch_family,
+        "air phone, sim": air_phone & F.col(p + "_sim").isNotNull(), "ipad pro, size": _has(toks, "ipad") & _has(toks, "pro") & sized,
+        "air, size, chip": (first == "air") & sized & chip_tok.isNotNull() & wifi, "air, size": _has(toks, "air") & sized & wifi,
+        "pro, size, chip": (first == "pro") & sized & chip_tok.isNotNull() & wifi, "pro, size": _has(toks, "pro") & sized & wifi,
+        "air phone, storage": air_phone & has_storage, "note": has_memory & (first == "note"), "poco": has_memory & (first == "poco"),
+        "letter code": has_memory & rx(first, r"^[xfmc]\d{1,2}[a-z]?$"), "a code": has_memory & rx(first, r"^a\d{1,3}$"),
+        "short samsung": has_memory & short_samsung & no_galaxy, "fold": has_memory & nb_first.isin("z", "fold", "flip"), "implied watch": implied,
+    }
+    sources = {
+        "all": toks, "rest": rest, "no brand": no_brand, "focus": focus, "aw": as_tokens(aw), "ultra": as_tokens(ultra), "series": as_tokens(series),
+        "series number": as_tokens(series_no), "mm": as_tokens(mm), "letter, rest": join(F.array(F.substring(_first(rest), 1, 1)), rest),
+        "size, rest": join(F.array(size_tok), F.filter(toks, lambda t: ~t.isin("ipad", "pro") & (t != size_tok))),
+        "size, chip": F.array_compact(F.array(size_tok, chip_tok)), "implied": implied_tokens, "implied, all": join(implied_tokens, toks),
+        "implied rest, all": join(_behind_first(implied_tokens), toks),
+    }
+    return [(guards[g], join(_words(*lead), sources[s]) if lead else sources[s]) for g, lead, s in V.SHORTHAND_RULES]
 
 
 def title_mode(text: Column) -> Column:
@@ -488,3 +467,10 @@ def resolve_sheet(sheet: DataFrame, alias_index: DataFrame, code_index: DataFram
     named = sheet.withColumn("clean_name", clean_sheet_name("name"))
     out = normalize_queries(named, alias_index, code_index, "clean_name", how="left")
     return out.withColumn("catalog_matched", F.col("model_id").isNotNull())
+
+
+def speaks_against(texts: DataFrame, alias_index: DataFrame, text: str = "text") -> DataFrame:
+    """(text, model): catalogue models a phrase of the line names, whose class the line speaks against."""
+    distinct = _spread(texts.select(text).distinct())
+    cand = candidate_phrases(distinct, text, "first").join(alias_index.drop("alias", "rule_no", "n_models"), "alias_key")
+    return cand.filter(rejected()).select(text, "model").distinct()
