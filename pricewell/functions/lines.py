@@ -111,11 +111,11 @@ def norm_header_line(col) -> Column:
     return F.when(contact, F.lit("")).otherwise(c)
 
 
-def header_fingerprint(col, limit: int = 14) -> Column:
-    """Normal form of the lines before the first priced product line, in one row expression."""
+def header_fingerprint(col, limit: int | None = None) -> Column:
+    """Normal form of the lines before the first priced product line, in one row expression; ``limit`` compares the first lines alone."""
     lines = F.filter(split_lines(col), lambda s: ~is_separator(s))
     priced = F.transform(lines, lambda s: is_product_line(s) & ~out_of_stock(s))
     first = F.array_position(priced, True)
     head = F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
     parts = F.filter(F.transform(head, norm_header_line), lambda s: s != "")
-    return F.array_join(F.slice(parts, 1, limit), " | ")
+    return F.array_join(parts if limit is None else F.slice(parts, 1, limit), " | ")

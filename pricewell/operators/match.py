@@ -234,6 +234,12 @@ def candidate_pairs(variants: DataFrame, offers: DataFrame, variant_cols: list[s
     )
 
 
+def with_candidates(variants: DataFrame, offers: DataFrame, key: list[str], keys: str = "keys") -> DataFrame:
+    """Variants (key) that share a blocking key with some offer; keys meet once each, no pair is made."""
+    offered = offers.select(F.explode(keys).alias("_k")).distinct()
+    return variants.select(*key, F.explode(keys).alias("_k")).join(offered, "_k", "left_semi").select(*key).distinct()
+
+
 def unmatched_variants(variants: DataFrame, candidates: DataFrame, matches: DataFrame, key: list[str]) -> DataFrame:
     """Variants without a match, and whether they had a candidate."""
     none = variants.join(matches.select(*key).distinct(), key, "left_anti")

@@ -219,11 +219,14 @@ def navigation(posts: DataFrame, by: list[str], pos: str = "pos", mid: str = "me
 
 
 def menu_fingerprint(rows: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
-    """Hash of the ordered label-link pairs and the title of each menu."""
-    pairs = F.array_sort(F.collect_list(F.struct(pos, F.concat_ws("=", "label", F.col("link").cast("string")).alias("_l"))))
+    """Digest of the title and of the label and link at each place of every menu.
+
+    Two sums of row hashes that contain the place: they combine on the map side, so no menu is gathered as a list, and rows that change places change them.
+    """
+    row = [F.col(pos), F.col("label"), F.col("link").cast("string")]
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *row).cast("decimal(38,0)")).cast("string")
     return rows.groupBy(*keys).agg(
-        F.sha2(F.concat_ws("\n", F.first("title"), F.array_join(F.transform(pairs, lambda x: x["_l"]), "\n")), 256).alias("fingerprint"),
-        F.count("label").alias("n_rows"),
+        F.sha2(F.concat_ws("\n", F.max("title"), total(1), total(2), F.count(F.lit(1)).cast("string")), 256).alias("fingerprint"), F.count("label").alias("n_rows"),
     )
 
 

@@ -40,15 +40,21 @@ def variant_line(title: str = "title", price: str = "min_price", channels: str =
 
 
 def render_model_view(catalog: DataFrame, keys: list[str] | None = None, order: list[str] | None = None,
-                      regions: str | None = "region_min") -> DataFrame:
-    """Breadcrumb and variant lines of one model, cut at the message limit."""
+                      regions: str | None = "region_min", limit: int = V.VIEW_TEXT_LIMIT) -> DataFrame:
+    """Breadcrumb and variant lines of each model: (keys, part_no, text), in as many parts as the message limit asks for.
+
+    A part begins where the lines before it fill a multiple of the room: the limit without the breadcrumb and the longest line, so that none exceeds it.
+    """
     keys, order = keys or PATH, order or ["variant_pos"]
     line = F.when(F.trim("title") == "", F.lit("")).otherwise(variant_line(regions=regions))
+    head = F.concat(F.concat_ws(" / ", F.lit("📚 Каталог"), *keys), F.lit("\n\n"))
+    of = Window.partitionBy(*keys)
+    size = F.length("_line") + 1
+    room = F.greatest(F.lit(limit) - F.length(head) - F.max(size).over(of), F.lit(1))
+    before = F.sum(size).over(of.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size
+    lines = catalog.withColumn("_line", line).withColumn("part_no", F.floor(before / room).cast("int"))
     body = join_lines(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("_line")))), lambda x: x["_line"]))
-    head = F.concat_ws(" / ", F.lit("📚 Каталог"), *keys)
-    return catalog.withColumn("_line", line).groupBy(*keys).agg(body.alias("_body")).select(
-        *keys, F.left(F.concat(head, F.lit("\n\n"), F.col("_body")), F.lit(V.VIEW_TEXT_LIMIT)).alias("text")
-    )
+    return lines.groupBy(*keys, "part_no").agg(body.alias("_body")).select(*keys, "part_no", F.concat(head, F.col("_body")).alias("text"))
 
 
 def page_numbers(df: DataFrame, by: list[str], order: list, size: int = V.PAGE_SIZE, width: float | None = None) -> DataFrame:

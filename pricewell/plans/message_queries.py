@@ -55,7 +55,7 @@ FP_SQL = f"""{LINES_SQL}, m AS (SELECT *, {SEP_SQL} AS sep, {OOS_SQL} AS oos, {P
 f AS (SELECT channel, message_id, min(line_no) FILTER (NOT sep AND NOT oos AND {PRODUCT_SQL}) AS first_no FROM m GROUP BY ALL),
 h AS (SELECT channel, message_id, line_no, {HEADER_SQL} AS part FROM m JOIN f USING (channel, message_id) WHERE NOT sep AND (first_no IS NULL OR line_no < first_no)),
 hp AS (SELECT *, row_number() OVER (PARTITION BY channel, message_id ORDER BY line_no) AS rn FROM h WHERE part <> ''),
-fp AS (SELECT channel, message_id, string_agg(part, ' | ' ORDER BY line_no) AS fp FROM hp WHERE rn <= 14 GROUP BY ALL)"""
+fp AS (SELECT channel, message_id, string_agg(part, ' | ' ORDER BY line_no) AS fp FROM hp GROUP BY ALL)"""
 
 
 @query("header_fingerprint", f"WITH {FP_SQL} SELECT doc_id AS message_id, coalesce(fp, '') AS fingerprint FROM documents LEFT JOIN fp ON channel = source AND message_id = doc_id")

@@ -66,20 +66,13 @@ def channel_wins(spark, d):
     return J.channel_wins(best(spark, d))
 
 
-@query("source_channels", f"""SELECT l_partkey AS variant_id, count(DISTINCT l_suppkey) AS n_channels, min({X.CHANNEL}) AS first_channel FROM lineitem GROUP BY 1""")
+@query("source_channels", f"""SELECT l_partkey AS variant_id, count(DISTINCT l_suppkey) AS n_channels, min({X.CHANNEL}) AS first_channel, count(DISTINCT {X.LINE}) AS n_raw, min({X.LINE}) AS first_raw FROM lineitem GROUP BY 1""")
 def source_channels(spark, d):
-    pairs = J.collect_sources(X.offers(spark, d), ["variant_id"]).filter("kind = 'channel'")
-    return pairs.groupBy("variant_id").agg(F.count(F.lit(1)).alias("n_channels"), F.min("value").alias("first_channel"))
-
-
-CAND, MATCHED = "l_shipdate >= TIMESTAMP '2001-06-01 00:00:00'", "l_quantity >= 40"
-
-
-@query("unmatched_variants", f"""SELECT p_partkey AS variant_id, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem WHERE {CAND}) THEN 'no_candidate_passed' ELSE 'no_candidates' END AS reason
-FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE {CAND} AND {MATCHED})""")
-def unmatched_variants(spark, d):
-    cand = X.table(spark, d, "lineitem").filter(CAND).select(F.col("l_partkey").alias("variant_id"), "l_quantity")
-    return J.unmatched_variants(X.catalog(spark, d).select("variant_id"), cand, cand.filter(MATCHED), ["variant_id"])
+    o = X.offer_lines(spark, d).select(F.col("true_variant").alias("variant_id"), "channel", F.col("text").alias("raw"))
+    pairs = J.collect_sources(o, ["variant_id"])
+    of = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
+    return pairs.groupBy("variant_id").agg(F.count(of("channel", "value")).alias("n_channels"), F.min(of("channel", "value")).alias("first_channel"),
+                                           F.count(of("raw", "value")).alias("n_raw"), F.min(of("raw", "value")).alias("first_raw"))
 
 
 @query("unmatched_offers", """SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber % 5 = 0 THEN -1 - l_partkey ELSE l_partkey END AS variant_id FROM lineitem

@@ -48,13 +48,20 @@ def variant_lines(spark, d):
     return c.select("variant_id", V.variant_line().alias("line"))
 
 
-@query("model_pages", f"""WITH {PRICED_SQL}, m AS (SELECT cat, brand, model, '📚 Каталог / ' || cat || ' / ' || brand || ' / ' || model || chr(10) || chr(10) || string_agg(title || ' — ' || CASE WHEN m IS NULL THEN '—' ELSE {_shown('m')} || ' ₽' END, chr(10) ORDER BY pos) AS text, min(p_partkey) AS k FROM v GROUP BY cat, brand, model)
-SELECT cat, brand, model, left(text, 3900) AS text, CAST(floor((row_number() OVER (PARTITION BY brand ORDER BY k) - 1) / 14) AS INT) AS page FROM m""")
+# A narrow message, so that a model takes several.
+PAGE_TEXT = 200
+
+
+@query("model_pages", f"""WITH {PRICED_SQL}, l AS (SELECT *, '📚 Каталог / ' || cat || ' / ' || brand || ' / ' || model || chr(10) || chr(10) AS head, title || ' — ' || CASE WHEN m IS NULL THEN '—' ELSE {_shown('m')} || ' ₽' END AS line FROM v),
+r AS (SELECT *, {PAGE_TEXT} - length(head) - max(length(line) + 1) OVER (PARTITION BY cat, brand, model) AS room, sum(length(line) + 1) OVER (PARTITION BY cat, brand, model ORDER BY pos) - length(line) - 1 AS before FROM l),
+m AS (SELECT cat, brand, model, min(p_partkey) AS k FROM v GROUP BY ALL), g AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY brand ORDER BY k) - 1) / 14) AS INT) AS page FROM m)
+SELECT cat, brand, model, CAST(floor(before / greatest(room, 1)) AS INT) AS part_no, any_value(head) || string_agg(line, chr(10) ORDER BY pos) AS text, any_value(page) AS page FROM r JOIN g USING (cat, brand, model) GROUP BY ALL""")
 def model_pages(spark, d):
     c = _priced(spark, d).withColumn("best_channels", F.array().cast("array<string>"))
-    view = V.render_model_view(c, ["cat", "brand", "model"], regions=None)
+    view = V.render_model_view(c, ["cat", "brand", "model"], regions=None, limit=PAGE_TEXT)
     first = c.groupBy("cat", "brand", "model").agg(F.min("variant_id").alias("k"))
-    return V.page_numbers(view.join(first, ["cat", "brand", "model"]), ["brand"], ["k"], width=120000.0).select("cat", "brand", "model", "text", "page")
+    paged = V.page_numbers(first, ["brand"], ["k"], width=120000.0)
+    return view.join(paged, ["cat", "brand", "model"]).select("cat", "brand", "model", "part_no", "text", "page")
 
 
 @query("drill_down", "SELECT p_brand AS child, count(*) AS n FROM part WHERE p_type = 'ECONOMY' GROUP BY 1")
@@ -173,13 +180,18 @@ def navigation_islands(spark, d):
     return B.navigation(o, ["brand", "cat"]).select("brand", "cat", "message_id", "first_pos", "label")
 
 
-@query("menu_changes", "SELECT p_brand AS brand, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'edit' WHEN p_brand = 'Brand#3' THEN 'create' ELSE 'skip' END AS action FROM part GROUP BY p_brand")
+@query("menu_changes", "SELECT p_brand AS brand, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') THEN 'edit' WHEN p_brand = 'Brand#3' THEN 'create' ELSE 'skip' END AS action FROM part GROUP BY p_brand UNION ALL SELECT DISTINCT 'old ' || p_brand, 'delete' FROM part WHERE p_brand IN ('Brand#4', 'Brand#5')")
 def menu_changes(spark, d):
     rows = X.table(spark, d, "part").selectExpr("p_brand AS brand", "'menu' AS title", "p_name AS label", "min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS link").distinct()
     rows = rows.withColumn("pos", F.col("link"))
     now = B.menu_fingerprint(rows, ["brand"])
-    old = now.withColumn("fingerprint", F.when(F.col("brand").isin("Brand#1", "Brand#2"), "x").otherwise(F.col("fingerprint")))
-    posted = old.filter("brand <> 'Brand#3'").withColumn("message_id", F.lit(1))
+    # What was posted: one menu with another label, one with two places changed, one not at all, two that are gone.
+    ends = rows.groupBy("brand").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    was = rows.filter("brand <> 'Brand#3'").join(ends, "brand").withColumns({
+        "label": F.when((F.col("brand") == "Brand#1") & (F.col("pos") == F.col("lo")), "other").otherwise(F.col("label")),
+        "pos": F.when(F.col("brand") == "Brand#2", F.col("lo") + F.col("hi") - F.col("pos")).otherwise(F.col("pos"))})
+    gone = rows.filter("brand IN ('Brand#4', 'Brand#5')").withColumn("brand", F.concat(F.lit("old "), "brand"))
+    posted = B.menu_fingerprint(was.select(rows.columns).unionByName(gone), ["brand"]).withColumn("message_id", F.lit(1))
     return B.menu_changes(now, posted, ["brand"]).select("brand", "action")
 
 

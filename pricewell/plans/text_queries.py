@@ -203,17 +203,17 @@ def strict_resolve(spark, d):
     return R.resolve_strict(lines, _index(spark, d)).select(*KEYS, "model")
 
 
-@query("ngram_resolve", r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a FROM conversations),
-w AS (SELECT list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^a-z ]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a, item_id FROM benchmark),
-idx AS (SELECT k AS alias_key, min(item_id) AS item_id FROM (SELECT array_to_string(a[1:2], ' ') AS k, item_id FROM w UNION ALL SELECT a[3], item_id FROM w) WHERE k <> '' GROUP BY 1),
+@query("ngram_resolve", r"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{L} ]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a FROM conversations),
+w AS (SELECT list_filter(string_split_regex(trim(regexp_replace(lower(text), '[^\p{L} ]+', ' ', 'g')), ' +'), lambda x: x <> '') AS a, item_id FROM benchmark),
+idx AS (SELECT k AS alias_key, min(item_id) AS item_id FROM (SELECT unnest(a) AS k, item_id FROM w UNION ALL SELECT array_to_string(a[i:i+1], ' '), item_id FROM (SELECT a, item_id, unnest(generate_series(1, len(a) - 1)) AS i FROM w)) GROUP BY 1),
 g AS (SELECT conv_id, turn, 1 AS n, unnest(generate_series(1, len(a))) AS pos, unnest(a) AS k FROM t UNION ALL
  SELECT conv_id, turn, 2, i, array_to_string(a[i:i+1], ' ') FROM (SELECT conv_id, turn, a, unnest(generate_series(1, len(a) - 1)) AS i FROM t))
 SELECT conv_id, turn, alias_key, n, CAST(pos AS INT) AS pos, item_id FROM g JOIN idx ON k = alias_key QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, pos) = 1""")
 def ngram_resolve(spark, d):
-    toks = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), "[^a-z ]+", " ")), " +"), lambda t: t != "")
+    toks = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L} ]+", " ")), " +"), lambda t: t != "")
     words = X.table(spark, d, "benchmark").select("item_id", toks.alias("w"))
-    keys = F.array(F.array_join(F.slice("w", 1, 2), " "), F.try_element_at("w", F.lit(3)))
-    index = words.select("item_id", F.explode(keys).alias("alias_key")).filter("alias_key <> ''").groupBy("alias_key").agg(F.min("item_id").alias("item_id"))
+    pairs = F.filter(F.transform("w", lambda w, i: F.when(i > 0, F.concat_ws(" ", F.get("w", i - 1), w))), lambda g: g.isNotNull())
+    index = words.select("item_id", F.explode(F.concat("w", pairs)).alias("alias_key")).groupBy("alias_key").agg(F.min("item_id").alias("item_id"))
     conv = spread(X.table(spark, d, "conversations")).select("conv_id", "turn", toks.alias("toks"))
     return R.ngram_lookup(conv, index, ["conv_id", "turn"], max_n=2)
 
@@ -304,6 +304,27 @@ def blocking_candidates(spark, d):
     return J.candidate_pairs(v, o, ["variant_id"], ["text"]).groupBy("variant_id").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
+# Every fifth model is offered under another name; two variants of each model in a colour the catalogue does not have.
+UNMATCHED_SQL = """WITH p AS (SELECT p_partkey AS k, CAST(floor(p_partkey / 12) AS BIGINT) AS g, p_partkey % 12 AS v FROM part), o AS (SELECT DISTINCT l_partkey AS k, CAST(floor(l_partkey / 12) AS BIGINT) AS g FROM lineitem)
+SELECT k AS variant_id, CASE WHEN g % 5 = 0 OR g NOT IN (SELECT g FROM o) THEN 'no_candidates' ELSE 'no_candidate_passed' END AS reason FROM p WHERE g % 5 = 0 OR v IN (3, 7) OR k NOT IN (SELECT k FROM o)"""
+
+
+@query("unmatched_variants", UNMATCHED_SQL)
+def unmatched_variants(spark, d):
+    """Candidates and matches of all offers: the lines are read as text, copies of a line once."""
+    v = _variants(spark, d)
+    e = X.catalog_exprs("l_partkey")
+    other = f"CASE WHEN CAST(floor(l_partkey / 12) AS BIGINT) % 5 = 0 THEN concat('Nova ', {e['title']}) ELSE {e['title']} END"
+    gold = f"CASE WHEN l_partkey % 12 IN (3, 7) THEN regexp_replace({other}, ' (Black|White|Green|Yellow)', ' Gold') ELSE {other} END"
+    asked = X.derived(spark, d, text=gold).select("text", F.col("true_variant").alias("k")).groupBy("text").agg(F.min("k").alias("k"))
+    named = asked.join(v.select(F.col("variant_id").alias("k"), "cat", "brand", "series", "model", "cat_pos"), "k").withColumn(
+        "model", F.when(F.floor(F.col("k") / 12) % 5 == 0, F.concat(F.lit("Nova "), "model")).otherwise(F.col("model")))
+    offers = cut_lineage(A.with_attributes(named, "text", cat="cat", brand="brand", series="series", model="model"))
+    matches = J.match_variants(v, offers, ["variant_id"], ["text"])
+    seen = J.with_candidates(v.select("variant_id", J.blocking_keys().alias("keys")), offers.select(J.blocking_keys().alias("keys")), ["variant_id"])
+    return J.unmatched_variants(v.select("variant_id"), seen, matches, ["variant_id"])
+
+
 @query("theta_match_nullsafe", f"""WITH o AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
 p AS (SELECT o.k, o.n, p_partkey AS v, CAST(floor(p_partkey / 12) AS BIGINT) % 4 AS fam FROM o JOIN part ON CAST(floor(p_partkey / 12) AS BIGINT) = CAST(floor(o.k / 12) AS BIGINT))
 SELECT fam, CASE WHEN k = v THEN NULL WHEN fam = 3 OR CAST(floor((k % 12) / 4) AS BIGINT) <> CAST(floor((v % 12) / 4) AS BIGINT) THEN 'color' ELSE 'storage' END AS reason, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""")
