@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import attributes as A, vocab as V
 from ..functions.lines import rx
 from ..functions.text import alias_key, clean_spaces, lit_array, lit_map, norm_key, null_if_empty, starts_with_tokens
+from ..session import cut_lineage
 
 PATH = ["cat", "brand", "series", "model"]
 POSITIONS = ["cat_pos", "brand_pos", "series_pos", "model_pos"]
@@ -388,3 +389,31 @@ def fanout_plan(chats: DataFrame) -> DataFrame:
     """Chats per account with the counts per status."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return chats.groupBy("account").agg(F.count(F.lit(1)).alias("chats"), n("sent"), n("failed"), n("skipped"))
+
+
+# ----------------------------------------------------------------- edit logs
+def replay_edits(nodes: DataFrame, edits: DataFrame, by: list[str]) -> DataFrame:
+    """``nodes`` (by, name) with ``final`` and ``n_edits`` after a log of edits (by, seq, action, name, new_name) in order of ``seq``.
+
+    An edit meets whatever bears its name at its time, so renames chain: A to B, then B to C, then C deleted.  Each rename points to the next edit of the
+    name it gives; pointers are doubled until none is left to follow, so the rounds follow the logarithm of the longest chain.  A deleted node has a null
+    ``final``; a rename to a name in use joins the two nodes; edits of unknown names do nothing.
+    """
+    log = cut_lineage(edits.select(*by, "seq", "name", F.when(F.col("action") == "rename", F.col("new_name")).alias("to")))
+    edit = log.select(*by, F.col("name").alias("_n"), "seq", F.lit(True).alias("_edit"), F.lit(None).cast("string").alias("_from"))
+    named = log.filter("to IS NOT NULL").select(*by, F.col("to").alias("_n"), "seq", F.lit(False).alias("_edit"), F.lit(None).cast("string").alias("_from"))
+    # The next edit of a name after each time it was given.
+    later = Window.partitionBy(*by, "_n").orderBy("seq", F.col("_edit")).rowsBetween(1, Window.unboundedFollowing)
+    following = edit.unionByName(named).withColumn("next", F.first(F.when(F.col("_edit"), F.col("seq")), ignorenulls=True).over(later)).filter("NOT _edit")
+    jump = log.join(following.select(*by, "seq", "next"), [*by, "seq"], "left").select(*by, "seq", "to", "next", F.lit(1).cast("long").alias("n"))
+    while True:
+        jump = cut_lineage(jump)
+        if jump.filter("next IS NOT NULL").isEmpty():
+            break
+        ahead = jump.select(*by, F.col("seq").alias("next"), F.col("to").alias("_to"), F.col("next").alias("_next"), F.col("n").alias("_n"))
+        moved = F.col("_n").isNotNull()
+        jump = jump.join(ahead, [*by, "next"], "left").select(
+            *by, "seq", F.when(moved, F.col("_to")).otherwise(F.col("to")).alias("to"), F.when(moved, F.col("_next")).alias("next"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+    first = log.groupBy(*by, "name").agg(F.min("seq").alias("seq"))
+    out = nodes.join(first, [*by, "name"], "left").join(jump.select(*by, "seq", F.col("to").alias("_end"), "n"), [*by, "seq"], "left")
+    return out.select(*nodes.columns, F.when(F.col("n").isNull(), F.col("name")).otherwise(F.col("_end")).alias("final"), F.coalesce("n", F.lit(0)).alias("n_edits"))

@@ -404,3 +404,20 @@ def sheet_summary(best: DataFrame, name: str = "name") -> DataFrame:
         F.count_if(named & F.col("min_price").isNull()).alias("rows_unpriced"),
         F.sum("n_offers").alias("offers_total"),
     )
+
+
+# ---------------------------------------------------------------- wildcards
+def wildcard_match(rows: DataFrame, offers: DataFrame, model: str, fields: list[str], row_cols: list[str], offer_cols: list[str]) -> DataFrame:
+    """Pairs of rows and offers of one model whose fields are equal wherever the row has a value; a row's null field fits every offer, null ones too.
+
+    An offer stands under each subset of its fields, a row under the one subset it fills: an equality join, with 2 ** len(fields) rows an offer at most.
+    Values compare without case and outer spaces.  Rows without a model match nothing.
+    """
+    norm = [F.coalesce(norm_value(F.col(c).cast("string")), F.lit("")) for c in fields]
+    key = lambda mask, values: F.concat_ws("|", norm_value(F.col(model)), F.lit(str(mask)), *[v for i, v in enumerate(values) if mask >> i & 1])
+    masks = range(1 << len(fields))
+    filled = sum((F.when(v != "", 1 << i).otherwise(0) for i, v in enumerate(norm)), F.lit(0))
+    own = F.coalesce(*[F.when(filled == m, key(m, norm)) for m in masks])
+    left = rows.filter(norm_value(F.col(model)).isNotNull()).select(*row_cols, own.alias("_k"))
+    right = offers.filter(norm_value(F.col(model)).isNotNull()).select(*offer_cols, F.explode(F.array(*[key(m, norm) for m in masks])).alias("_k"))
+    return left.join(right, "_k").drop("_k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import catalog as C, resolve as R
+from ..operators import catalog as C, match as J, resolve as R
 from ..session import cut_lineage
 from . import bindings as X
 from .registry import query
@@ -79,3 +79,35 @@ def speaks_against(spark, d):
     """Models a line names and contradicts."""
     lines = _lines(spark, d, AGAINST)
     return lines.join(R.speaks_against(lines, _index(spark, d)), "text").select("l_orderkey", "l_linenumber", "model")
+
+
+# --------------------------------------------------- sheets and edit logs
+@query("wildcard_sheet", f"""WITH n AS (SELECT p_partkey AS k, {X.catalog_exprs('p_partkey')['model']} AS model, {X.catalog_exprs('p_partkey')['true_storage']} AS storage, {X.catalog_exprs('p_partkey')['true_color']} AS color FROM part),
+o AS (SELECT n.*, {X.PRICE} AS price FROM n JOIN lineitem ON l_partkey = k), s AS (SELECT k, model, CASE WHEN k % 3 <> 0 THEN storage END AS storage, CASE WHEN k % 5 <> 0 THEN color END AS color FROM n)
+SELECT s.k, count(*) AS n_offers, min(o.price) AS min_price FROM s JOIN o ON o.model = s.model AND (s.storage IS NULL OR s.storage = o.storage) AND (s.color IS NULL OR s.color = o.color) GROUP BY 1""")
+def wildcard_sheet(spark, d):
+    """Sheet rows, some without storage or colour, against all offers."""
+    e = X.catalog_exprs("p_partkey")
+    named = X.table(spark, d, "part").selectExpr("p_partkey AS k", f"{e['model']} AS model", f"{e['true_storage']} AS storage", f"{e['true_color']} AS color")
+    priced = X.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.expr(X.PRICE).alias("price"))
+    # Offers of one variant meet a row together, so they are counted first.
+    offers = priced.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("price")).join(named, "k")
+    sheet = named.selectExpr("k", "model", "CASE WHEN k % 3 <> 0 THEN storage END AS storage", "CASE WHEN k % 5 <> 0 THEN color END AS color")
+    pairs = J.wildcard_match(sheet, offers, "model", ["storage", "color"], ["k"], ["n", "price"])
+    return pairs.groupBy("k").agg(F.sum("n").alias("n_offers"), F.min("price").alias("min_price"))
+
+
+# A log over few names, so that renames chain and names are given again.
+EDITS = """SELECT o_orderpriority AS cat, o_orderkey AS seq, CASE WHEN o_orderkey % 17 = 5 THEN 'delete' ELSE 'rename' END AS action, concat('b', CAST(o_custkey % 4000 AS VARCHAR(20))) AS name,
+ concat('b', CAST((o_custkey * 7 + o_orderkey) % 4000 AS VARCHAR(20))) AS new_name FROM orders"""
+
+
+@query("edit_chains", f"""WITH RECURSIVE e AS ({EDITS}), n AS (SELECT DISTINCT cat, name FROM e),
+w AS (SELECT cat, name, name AS cur, CAST(-1 AS BIGINT) AS at, 0 AS n FROM n
+ UNION ALL SELECT w.cat, w.name, CASE WHEN e.action = 'rename' THEN e.new_name END, e.seq, w.n + 1 FROM w JOIN e ON e.cat = w.cat AND e.name = w.cur AND e.seq > w.at
+ WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.cat = w.cat AND f.name = w.cur AND f.seq > w.at AND f.seq < e.seq))
+SELECT cat, name, arg_max(coalesce(cur, '-'), n) AS final, CAST(max(n) AS BIGINT) AS n_edits FROM w GROUP BY cat, name""")
+def edit_chains(spark, d):
+    X.table(spark, d, "orders").createOrReplaceTempView("_edit_orders")
+    edits = spark.sql(EDITS.replace("FROM orders", "FROM _edit_orders"))
+    return C.replay_edits(edits.select("cat", "name").distinct(), edits, ["cat"]).withColumn("final", F.coalesce("final", F.lit("-")))
