@@ -235,9 +235,7 @@ def _first_writer(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def alias_candidates(catalog: DataFrame) -> DataFrame:
-    models = models_of(catalog)
-    safe = gen_aliases(models).filter(alias_is_safe())
+def _with_forced(models: DataFrame, safe: DataFrame) -> DataFrame:
     forced = forced_aliases(models, safe)
     # a forced alias must be free; the first free one of a model is taken
     free = forced.join(safe.select("alias_key").distinct(), "alias_key", "left_anti")
@@ -245,6 +243,11 @@ def alias_candidates(catalog: DataFrame) -> DataFrame:
     return safe.unionByName(one)
 
 
+def alias_candidates(catalog: DataFrame) -> DataFrame:
+    models = models_of(catalog)
+    return _with_forced(models, gen_aliases(models).filter(alias_is_safe()))
+
+
 def build_alias_index(catalog: DataFrame) -> DataFrame:
     """alias_key -> model; the first writer wins."""
     return _first_writer(alias_candidates(catalog), "alias_key")
@@ -417,3 +420,29 @@ def replay_edits(nodes: DataFrame, edits: DataFrame, by: list[str]) -> DataFrame
     first = log.groupBy(*by, "name").agg(F.min("seq").alias("seq"))
     out = nodes.join(first, [*by, "name"], "left").join(jump.select(*by, "seq", F.col("to").alias("_end"), "n"), [*by, "seq"], "left")
     return out.select(*nodes.columns, F.when(F.col("n").isNull(), F.col("name")).otherwise(F.col("_end")).alias("final"), F.coalesce("n", F.lit(0)).alias("n_edits"))
+
+
+# --------------------------------------------------------- incremental index
+def index_state(catalog: DataFrame, before: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(models, aliases) an alias index is made from, each model with a digest of its own.
+
+    With the state ``before``, aliases are generated for models whose digest is new or has changed alone; those of the others are taken over and those of
+    models that are gone dropped.  A place in the catalogue is no part of the digest: it comes from the catalogue each time.
+    """
+    models = models_of(catalog)
+    own = [c for c in models.columns if c != "model_order"]
+    models = models.withColumn("digest", F.xxhash64(*own))
+    if before is None:
+        safe = gen_aliases(models).filter(alias_is_safe())
+        return cut_lineage(models), cut_lineage(safe)
+    old_models, old_safe = before
+    known = old_models.select("model_id", "digest")
+    fresh = models.join(known, ["model_id", "digest"], "left_anti")
+    kept = old_safe.drop("model_order").join(models.select("model_id", "digest", "model_order"), ["model_id", "digest"])
+    made = gen_aliases(fresh).filter(alias_is_safe())
+    return cut_lineage(models), cut_lineage(kept.select(made.columns).unionByName(made))
+
+
+def index_of_state(models: DataFrame, safe: DataFrame) -> DataFrame:
+    """The alias index of a state; the first writer of a key is settled over all models, so that collisions follow additions and removals."""
+    return _first_writer(_with_forced(models, safe), "alias_key")

@@ -111,3 +111,26 @@ def edit_chains(spark, d):
     X.table(spark, d, "orders").createOrReplaceTempView("_edit_orders")
     edits = spark.sql(EDITS.replace("FROM orders", "FROM _edit_orders"))
     return C.replay_edits(edits.select("cat", "name").distinct(), edits, ["cat"]).withColumn("final", F.coalesce("final", F.lit("-")))
+
+
+_G = "CAST(floor(p_partkey / 12) AS BIGINT)"
+
+
+@query("index_increment", f"""WITH m AS (SELECT DISTINCT {_G} AS g FROM part), a AS (SELECT count(*) AS n, count(*) FILTER (g % 10 = 3) AS renamed, count(*) FILTER (g % 10 = 7) AS removed FROM m)
+SELECT 'again' AS step, n AS n_models, CAST(0 AS BIGINT) AS n_rebuilt, false AS stale, CAST(0 AS BIGINT) AS n_different FROM a UNION ALL SELECT 'edited', n - removed, renamed, renamed + removed > 0, 0 FROM a""")
+def index_increment(spark, d):
+    """A tenth of the models renamed and a tenth removed: what is rebuilt, and the rows in which the index differs from one built anew."""
+    before = X.text_catalog(spark, d)
+    g = F.floor(F.col("variant_id") / 12)
+    after = before.filter(g % 10 != 7).withColumns({"model": F.when(g % 10 == 3, F.concat("model", F.lit(" Neo"))).otherwise(F.col("model"))})
+    state, cols = C.index_state(before), ["cat", "brand", "series", "model", "title"]
+    out = []
+    for step, catalog in (("again", before.orderBy("title")), ("edited", after)):
+        new = C.index_state(catalog, state)
+        index, whole = C.index_of_state(*new).select("alias_key", "model_id", "n_models"), C.build_alias_index(catalog).select("alias_key", "model_id", "n_models")
+        different = index.exceptAll(whole).unionAll(whole.exceptAll(index)).agg(F.count(F.lit(1)).alias("n_different"))
+        rebuilt = new[0].join(state[0].select("model_id", "digest"), ["model_id", "digest"], "left_anti").agg(F.count(F.lit(1)).alias("n_rebuilt"))
+        stale = C.is_stale(C.build_id(before, cols), C.build_id(catalog, cols)).select("stale")
+        counts = new[0].agg(F.count(F.lit(1)).alias("n_models"))
+        out.append(counts.crossJoin(F.broadcast(rebuilt)).crossJoin(F.broadcast(stale)).crossJoin(F.broadcast(different)).select(F.lit(step).alias("step"), "n_models", "n_rebuilt", "stale", "n_different"))
+    return out[0].unionByName(out[1])
