@@ -17,7 +17,7 @@ from .common import least_hashed
 from .langid import held_out
 from .textarrays import SIGNS, runs, span_hashes, text_bytes, word_spans
 
-LENGTH, STRIDE = 40, 32
+LENGTH, STRIDE = 40, 20
 #: Bounds of the training sample: texts of either label, those of the least hash, and words with a vector of their own.
 SAMPLE, WORDS = 1500, 20_000
 GRAM_BITS, WIDTH, HIDDEN, ATTENTION = 14, 12, 8, 8
