@@ -185,7 +185,7 @@ def may_be_alike(odd, size) -> Column:
 def rest_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
     """All pairs (a, b) of different components that may be alike, by prefix filtering over ``sets`` (id, set, parity).
 
-    The pairs meet on their shingle with their sizes alone; a pair's parities come in once it is there once.
+    The parities stand inside the join on the shingle: compared after it, the pairs that meet would grow with the square of a hot shingle's sets.
     """
     n = F.size("set")
     one = sets.join(comp, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"), n.alias("n"), F.explode("set").alias("s"))
@@ -197,17 +197,14 @@ def rest_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
     head = shared.withColumns({"place": own + F.row_number().over(order), "need": F.ceil(F.col("n") * SIMILAR.numerator / SIMILAR.denominator)})
     head = head.where(F.col("place") <= F.col("n") - F.col("need") + 1).select("s", "id", "comp", "n")
     many = head.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("s")
-    head = cut_lineage(head.join(many, "s"))
+    bits = sets.select("id", *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
+    head = cut_lineage(head.join(many, "s").join(bits, "id"))
     other = head.select("s", *[F.col(c).alias(f"{c}_b") for c in head.columns if c != "s"])
-    # Alike sets differ in size by a fifth of the larger at most.
-    sized = (F.col("n") * SIMILAR.denominator >= F.col("n_b") * SIMILAR.numerator) & (F.col("n_b") * SIMILAR.denominator >= F.col("n") * SIMILAR.numerator)
-    met = head.join(other, (head["s"] == other["s"]) & (F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & sized)
-    met = cut_lineage(met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
+    odd = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, PARITY)), F.bit_count(F.col("p0").bitwiseXOR(F.col("p0_b"))))
+    alike = (head["s"] == other["s"]) & (F.col("id") < F.col("id_b")) & (F.col("comp") != F.col("comp_b")) & may_be_alike(odd, F.col("n") + F.col("n_b"))
+    met = cut_lineage(head.join(other, alike).select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct())
     release(head)
-    bits = sets.select("id", n.alias("n"), *[F.col("parity")[k].alias(f"p{k}") for k in range(PARITY)])
-    left, right = (bits.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in bits.columns if c != "id"]) for side in "ab")
-    odd = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(1, PARITY)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
-    return met.join(left, "a").join(right, "b").where(may_be_alike(odd, F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return met
 
 
 def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
