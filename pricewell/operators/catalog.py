@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import attributes as A, vocab as V
 from ..functions.lines import rx
 from ..functions.text import alias_key, clean_spaces, lit_array, lit_map, norm_key, null_if_empty, starts_with_tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_dir
 
 PATH = ["cat", "brand", "series", "model"]
 POSITIONS = ["cat_pos", "brand_pos", "series_pos", "model_pos"]
@@ -406,11 +408,14 @@ def replay_edits(nodes: DataFrame, edits: DataFrame, by: list[str]) -> DataFrame
     edit = log.select(*by, F.col("name").alias("_n"), "seq", F.lit(True).alias("_edit"), F.lit(None).cast("string").alias("_from"))
     named = log.filter("to IS NOT NULL").select(*by, F.col("to").alias("_n"), "seq", F.lit(False).alias("_edit"), F.lit(None).cast("string").alias("_from"))
     # The next edit of a name after each time it was given.
-    later = Window.partitionBy(*by, "_n").orderBy("seq", F.col("_edit")).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by, "_n").orderBy("seq", F.desc("_edit")).rowsBetween(1, Window.unboundedFollowing)
     following = edit.unionByName(named).withColumn("next", F.first(F.when(F.col("_edit"), F.col("seq")), ignorenulls=True).over(later)).filter("NOT _edit")
     jump = log.join(following.select(*by, "seq", "next"), [*by, "seq"], "left").select(*by, "seq", "to", "next", F.lit(1).cast("long").alias("n"))
+    home, turn = f"{shared_dir(nodes.sparkSession)}/edits-{uuid.uuid4().hex}", 0
     while True:
-        jump = cut_lineage(jump)
+        # A written table has a size of its own; a checkpoint keeps the estimate of its plan, which squares with every self-join.
+        jump.write.parquet(f"{home}/{turn}")
+        jump, turn = nodes.sparkSession.read.parquet(f"{home}/{turn}"), turn + 1
         if jump.filter("next IS NOT NULL").isEmpty():
             break
         ahead = jump.select(*by, F.col("seq").alias("next"), F.col("to").alias("_to"), F.col("next").alias("_next"), F.col("n").alias("_n"))

@@ -102,11 +102,10 @@ EDITS = """SELECT o_orderpriority AS cat, o_orderkey AS seq, CASE WHEN o_orderke
  concat('b', CAST((o_custkey * 7 + o_orderkey) % 4000 AS VARCHAR(20))) AS new_name FROM orders"""
 
 
-@query("edit_chains", f"""WITH RECURSIVE e AS ({EDITS}), n AS (SELECT DISTINCT cat, name FROM e),
-w AS (SELECT cat, name, name AS cur, CAST(-1 AS BIGINT) AS at, 0 AS n FROM n
- UNION ALL SELECT w.cat, w.name, CASE WHEN e.action = 'rename' THEN e.new_name END, e.seq, w.n + 1 FROM w JOIN e ON e.cat = w.cat AND e.name = w.cur AND e.seq > w.at
- WHERE NOT EXISTS (SELECT 1 FROM e f WHERE f.cat = w.cat AND f.name = w.cur AND f.seq > w.at AND f.seq < e.seq))
-SELECT cat, name, arg_max(coalesce(cur, '-'), n) AS final, CAST(max(n) AS BIGINT) AS n_edits FROM w GROUP BY cat, name""")
+@query("edit_chains", f"""WITH RECURSIVE e AS ({EDITS}), n AS (SELECT cat, name, min(seq) AS seq FROM e GROUP BY ALL),
+x AS (SELECT e.cat, e.seq, CASE WHEN e.action = 'rename' THEN e.new_name END AS result, f.seq AS next FROM e ASOF LEFT JOIN e f ON f.cat = e.cat AND f.name = CASE WHEN e.action = 'rename' THEN e.new_name END AND e.seq < f.seq),
+w AS (SELECT n.cat, n.name, x.result, x.next, CAST(1 AS BIGINT) AS n FROM n JOIN x USING (cat, seq) UNION ALL SELECT w.cat, w.name, x.result, x.next, w.n + 1 FROM w JOIN x ON x.cat = w.cat AND x.seq = w.next)
+SELECT cat, name, coalesce(result, '-') AS final, n AS n_edits FROM w WHERE next IS NULL""")
 def edit_chains(spark, d):
     X.table(spark, d, "orders").createOrReplaceTempView("_edit_orders")
     edits = spark.sql(EDITS.replace("FROM orders", "FROM _edit_orders"))

@@ -7,7 +7,7 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["best_offer_per_variant", "price_catalog_rollup", "two_step_lookup", "markup_override", "path_prefix_filter", "header_dedupe", "line_filter", "tier_pairs",
-         "post_render", "publication_plan", "order_break", "page_prices", "suppress_window", "suppress_same_as_last", "stream_suppress", "theta_match_nullsafe"]
+         "post_render", "publication_plan", "order_break", "page_prices", "suppress_window", "suppress_same_as_last", "stream_suppress", "theta_match_nullsafe", "deep_markup", "deep_subtree", "wildcard_sheet", "edit_chains", "menu_changes", "model_pages", "speaks_against"]
 
 
 @pytest.mark.parametrize("name", NAMES)

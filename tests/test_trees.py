@@ -4,7 +4,7 @@ import json
 import random
 import re
 
-from pricewell.operators import phrases as PH, trees as T
+from pricewell.operators import catalog as C, phrases as PH, trees as T
 
 
 def test_marks_and_choice(spark):
@@ -52,3 +52,18 @@ def test_phrases(spark):
     assert got == want
     plan = PH.phrase_hits(t, p, "id")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "rlike" not in plan.partition("BroadcastNestedLoopJoin")[2].split("\n")[0]
+
+
+def test_edit_chains(spark):
+    """Long chains, names given again and to themselves, deletions."""
+    rng = random.Random(8)
+    log = [("c", i, "delete" if rng.random() < 0.1 else "rename", rng.choice("abcdefg"), rng.choice("abcdefg")) for i in range(60)] + [("d", i, "rename", f"n{i}", f"n{i + 1}") for i in range(40)]
+    edits = spark.createDataFrame(log, "cat string, seq long, action string, name string, new_name string")
+    names = [("c", n) for n in "abcdefgz"] + [("d", "n0"), ("d", "n39")]
+    got = {(r.cat, r.name): (r.final, r.n_edits) for r in C.replay_edits(spark.createDataFrame(names, "cat string, name string"), edits, ["cat"]).collect()}
+    for cat, name in names:
+        now, n = name, 0
+        for c, _, action, old, new in log:
+            if c == cat and now == old:
+                now, n = (new if action == "rename" else None), n + 1
+        assert got[cat, name] == (now, n)
