@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewell.llm import decontam, langid, neardup, pieces, pii
-from pricewell.llm.common import shared_dir, table
+from pricewell.llm.common import remove, shared_dir, table
 from pricewell.llm.queries import piece_model
 
 
@@ -58,11 +58,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written as Parquet in the shared folder and read again."""
+    """All stages in turn, each written as Parquet in the shared folder and read again; what a stage has read goes once it is written."""
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{home}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
