@@ -103,11 +103,11 @@ def with_region_prefix(title, regions, fallback=None) -> Column:
     return F.when(region_of(t).isNull() & flags.isNotNull(), F.concat_ws(" ", flags, t)).otherwise(t)
 
 
-def model_regions(catalog: DataFrame, model: list[str]) -> DataFrame:
-    """Regions of the cheapest variant of a model that has any."""
+def model_regions(catalog: DataFrame, model: list[str], ties: list[str] | None = None) -> DataFrame:
+    """Regions of the cheapest variant of a model that has any; variants of one price and title are taken in the order of ``ties``."""
     return (
         catalog.filter(F.size(F.coalesce("region_min", F.array().cast("array<string>"))) > 0).groupBy(*model)
-        .agg(F.min_by("region_min", F.struct(F.col("min_price").isNull(), "min_price", "title")).alias("model_region"))
+        .agg(F.min_by("region_min", F.struct(F.col("min_price").isNull(), "min_price", "title", *(ties or []))).alias("model_region"))
     )
 
 

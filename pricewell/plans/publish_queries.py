@@ -311,7 +311,7 @@ def model_region_prefix(spark, d):
     """Titles take the flags of their own cheapest regions, else of the model's."""
     v = X.table(spark, d, "part").selectExpr("p_partkey", "p_type AS cat", "p_brand AS brand", "p_name AS title", "p_retailprice AS min_price",
                                              "CASE p_partkey % 3 WHEN 0 THEN array('us') WHEN 1 THEN CAST(array() AS ARRAY<STRING>) ELSE array('jp') END AS region_min")
-    both = v.join(B.model_regions(v, ["cat", "brand"]), ["cat", "brand"], "left")
+    both = v.join(B.model_regions(v, ["cat", "brand"], ["p_partkey"]), ["cat", "brand"], "left")
     return both.select("p_partkey", B.with_region_prefix("title", "region_min", "model_region").alias("title"))
 
 
