@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .lines import rx
-from .money import first_int
+from .money import whole_int
 from .text import _c
 
 
@@ -55,23 +55,23 @@ def by_class(html: Column, name: str, cls: str) -> Column:
     """First number in the first element of a class (or in a price ``meta`` inside it)."""
     body = F.regexp_extract(html, rf"(?is)<{name}\b[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"'][^>]*>(.*?)</{name}>", 1)
     meta = F.regexp_extract(body, r"(?is)<meta\b[^>]*itemprop\s*=\s*[\"']price[\"'][^>]*>", 0)
-    return F.coalesce(first_int(_attr(meta, "content")), first_int(text_of(body)))
+    return F.coalesce(whole_int(_attr(meta, "content")), whole_int(text_of(body)))
 
 
 def by_meta(html: Column, prop: str) -> Column:
     tags = _tags(html, "meta", lambda t: F.coalesce(_attr(t, "property") == prop, F.lit(False)))
-    return first_int(_attr(F.try_element_at(tags, F.lit(1)), "content"))
+    return whole_int(_attr(F.try_element_at(tags, F.lit(1)), "content"))
 
 
 def by_itemprop(html: Column) -> Column:
     tag = F.regexp_extract(html, r"(?is)<[a-z0-9]+\b[^>]*itemprop\s*=\s*[\"']price[\"'][^>]*>", 0)
     body = F.regexp_extract(html, r"(?is)<[a-z0-9]+\b[^>]*itemprop\s*=\s*[\"']price[\"'][^>]*>([^<]*)<", 1)
-    return first_int(F.coalesce(_attr(tag, "content"), _attr(tag, "value"), body))
+    return whole_int(F.coalesce(_attr(tag, "content"), _attr(tag, "value"), body))
 
 
 def by_data_price(html: Column, cls: str) -> Column:
     tags = _tags(html, "[a-z0-9]+", lambda t: _has_class(t, cls) & _attr(t, "data-price").isNotNull())
-    return first_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
+    return whole_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
 
 
 def by_slug(html: Column, slug: Column, cls: str) -> Column:
@@ -79,7 +79,7 @@ def by_slug(html: Column, slug: Column, cls: str) -> Column:
         html, "[a-z0-9]+",
         lambda t: _has_class(t, cls) & F.coalesce(F.lower(_attr(t, "data-slug")) == slug, F.lit(False)) & (slug != ""),
     )
-    return first_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
+    return whole_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
 
 
 def by_checked(html: Column, cls: str) -> Column:
@@ -93,13 +93,13 @@ def by_checked(html: Column, cls: str) -> Column:
         html, "[a-z0-9]+",
         lambda t: _has_class(t, cls) & F.coalesce(_attr(t, "data-variation-id") == variation, F.lit(False)),
     )
-    return first_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
+    return whole_int(_attr(F.try_element_at(tags, F.lit(1)), "data-price"))
 
 
 def _node_price(node: Column) -> Column:
     """price, lowPrice, highPrice of a JSON object text; empty and zero values do not count."""
     return F.coalesce(*[
-        F.nullif(first_int(F.get_json_object(node, f"$.{k}")), F.lit(0).cast("bigint")) for k in ("price", "lowPrice", "highPrice")
+        F.nullif(whole_int(F.get_json_object(node, f"$.{k}")), F.lit(0).cast("bigint")) for k in ("price", "lowPrice", "highPrice")
     ])
 
 
@@ -124,7 +124,7 @@ def ldjson_price(html: Column) -> Column:
     def price(node):
         offers = F.get_json_object(node, "$.offers")
         from_offers = F.filter(F.transform(_json_items(offers), _node_price), lambda p: p.isNotNull())
-        own = F.nullif(first_int(F.get_json_object(node, "$.price")), F.lit(0).cast("bigint"))
+        own = F.nullif(whole_int(F.get_json_object(node, "$.price")), F.lit(0).cast("bigint"))
         return F.coalesce(F.try_element_at(from_offers, F.lit(1)), own)
 
     prices = F.filter(F.transform(F.flatten(F.transform(valid, nodes)), price), lambda p: p.isNotNull())
@@ -163,5 +163,5 @@ def rule(html: Column, slug: Column, name: str) -> Column:
     if kind == "jsonprice":
         return F.regexp_extract(html, r'"price"\s*:\s*"?(\d{3,})"?', 1).try_cast("bigint")
     if kind == "rubles":
-        return first_int(F.regexp_extract(html, r"(\d{1,3}(?:[ \x{A0}]?\d{3})+)\s*₽", 1))
+        return whole_int(F.regexp_extract(html, r"(\d{1,3}(?:[ \x{A0}]?\d{3})+)\s*₽", 1))
     raise ValueError(name)

@@ -40,6 +40,11 @@ def first_int(col) -> Column:
     return _digits(F.regexp_extract(F.translate(_c(col), "\u00a0", " "), r"(\d{1,3}(?: ?\d{3})+|\d{4,})", 1))
 
 
+def whole_int(col) -> Column:
+    """First integer with all its digits, also when their number is no multiple of three."""
+    return _digits(F.regexp_extract(F.translate(_c(col), "\u00a0", " "), r"(\d{1,3}(?: ?\d{3})+(?!\d)|\d{4,})", 1))
+
+
 def coerce_price(*cols) -> Column:
     """First value that reads as a number once currency words and spaces are gone."""
 
