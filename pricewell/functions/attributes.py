@@ -163,6 +163,26 @@ def _color_table(phrases: tuple | None):
     return table
 
 
+@lru_cache(maxsize=8)
+def _color_alternation(keys: tuple) -> str:
+    """All phrases as one pattern that shares their beginnings and takes the longest."""
+    root: dict = {}
+    for key in keys:
+        node = root
+        for ch in key:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [(r"[\s\-_/]+" if ch == " " else ch) + pattern(sub) for ch, sub in node.items() if ch]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else "(?:" + "|".join(branches) + ")"
+        return body + "?" if "" in node else body
+
+    return pattern(root)
+
+
 def colors_of(col, limit: int | None = None, phrases: tuple | None = None) -> Column:
     """Distinct colours of a text, longest phrase first.
 
@@ -172,7 +192,7 @@ def colors_of(col, limit: int | None = None, phrases: tuple | None = None) -> Co
     table = _color_table(phrases)
     sep = r"[\s\-_/]+"
     longest_first = sorted(table, key=len, reverse=True)
-    alternation = "|".join(k.replace(" ", sep) for k in longest_first)
+    alternation = _color_alternation(tuple(table))
     pattern = r"(?iu)(?<![\p{L}\p{N}_])(?=((?:" + alternation + r")(?![\p{L}\p{N}_])))"
     entries = {}
     for key in longest_first:
@@ -228,7 +248,7 @@ def region_of(col) -> Column:
         F.filter(F.transform(flags_of(raw), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
     )
     toks = tokens(clean_text(raw))
-    by_word = _ordered([(F.array_contains(toks, code), F.lit(code)) for code in V.REGION_CODES])
+    by_word = F.try_element_at(F.array_intersect(lit_array(list(V.REGION_CODES)), toks), F.lit(1))
     return F.coalesce(by_flag, by_word)
 
 
@@ -554,7 +574,7 @@ def model_remainder(col, phrases: tuple | None = None) -> Column:
               r"\be\s*[- ]?\s*sim\b", r"\bsim\b"):
         s = F.regexp_replace(s, P.I + p, " ")
     table = _color_table(phrases)
-    alternation = "|".join(k.replace(" ", r"[\s\-_/]+") for k in sorted(table, key=len, reverse=True))
+    alternation = _color_alternation(tuple(table))
     s = F.regexp_replace(clean_text(s), r"(?iu)(?<![\p{L}\p{N}_])(?:" + alternation + r")(?![\p{L}\p{N}_])", " ")
     for p in (P.MEM_SLASH, P.MEM_SLASH_BARE, P.MEM_EXPLICIT, P.MEM_BARE, P.I + r"\b(gb|гб|tb|тб|g)\b"):
         s = F.regexp_replace(s, p, " ")

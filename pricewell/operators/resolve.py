@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import attributes as A, patterns as P, vocab as V
 from ..functions.lines import rx
+from ..functions.money import extract_price
 from ..functions.text import (
     clean_spaces, clean_text, lit_array, lit_map, match_tokens, norm_key, strip_flags, title_head, tokens,
 )
-from ..session import cut_lineage
+from ..functions.shapes import line_shape, numbers_of, once_for_each
+from ..session import cut_lineage, spread_work
 
 MAX_NGRAM, MAX_TITLE_NGRAM = 8, 12
 
@@ -313,8 +315,7 @@ _MODEL_COLS = ["model_id", "cat", "brand", "series", "model", "canonical"]
 
 
 def _spread(texts: DataFrame) -> DataFrame:
-    """Texts are few bytes but much work each: keep all shuffle partitions, which coalescing would merge."""
-    return texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread_work(texts)
 
 
 def _winners(cand: DataFrame, text: str) -> DataFrame:
@@ -376,13 +377,30 @@ def resolve_texts(texts: DataFrame, alias_index: DataFrame, code_index: DataFram
 
 def resolve_models(lines: DataFrame, alias_index: DataFrame, code_index: DataFrame | None = None,
                    text: str = "text", shorthand: bool = True, how: str = "inner") -> DataFrame:
-    """Lines with their model; ``how='left'`` keeps unresolved ones."""
-    return lines.join(resolve_texts(lines, alias_index, code_index, text, shorthand), text, how)
+    """Lines with their model; ``how='left'`` keeps unresolved ones.  Lines that differ in their price alone are resolved once."""
+    shaped = with_shape(lines, alias_index, text)
+    found = resolve_texts(shaped.select("_shape"), alias_index, code_index, "_shape", shorthand)
+    return shaped.join(found, "_shape", how).drop("_shape")
+
+
+def with_shape(lines: DataFrame, alias_index: DataFrame, text: str = "text") -> DataFrame:
+    """Lines with ``_shape``, which resolves as the line itself does."""
+    taken = numbers_of(alias_index)
+    return lines.crossJoin(F.broadcast(taken)).withColumn("_shape", line_shape(text, F.col("_taken"), regions=False, diagonals=True)).drop("_taken")
+
+
+def _attributes(rows: DataFrame, text: str, catalog: bool = False, phrases: tuple | None = None) -> DataFrame:
+    """Attribute columns of resolved lines: once for each shape and model, the price from the line itself."""
+    keys = {"_shape": line_shape(text), **{"_k_" + c: F.col(c) for c in ("cat", "brand", "series", "model")}}
+    read = lambda d: A.with_attributes(d, "_shape", cat="_k_cat", brand="_k_brand", series="_k_series", model="_k_model",
+                                       catalog=catalog, phrases=phrases).drop("price")
+    return once_for_each(rows, keys, read).withColumn("price", extract_price(text))
 
 
 def resolve_strict(lines: DataFrame, alias_index: DataFrame, text: str = "text") -> DataFrame:
     """Whole-phrase lookup of the remainder only."""
-    keyed = lines.withColumn("alias_key", F.array_join(match_tokens(A.model_remainder(F.col(text))), " "))
+    key = F.array_join(match_tokens(A.model_remainder(F.col("_shape"))), " ")
+    keyed = once_for_each(lines, {"_shape": line_shape(text, regions=False)}, lambda d: d.withColumn("alias_key", key))
     return keyed.join(alias_index.select("alias_key", *_MODEL_COLS), "alias_key")
 
 
@@ -417,23 +435,31 @@ def resolve_with_header(lines: DataFrame, alias_index: DataFrame, code_index: Da
                         text: str = "text", header: str = "header") -> DataFrame:
     """Two passes: the line alone, then ``header + line`` where that fails.
 
-    A match whose brand contradicts the header's brand is void.  Both passes work
-    on distinct (line, header) pairs, so copies cost nothing.
+    A match whose brand contradicts the header's brand is void.  Both passes work on
+    distinct pairs of a line's shape and its header, so copies and prices cost nothing.
     """
-    pairs = _spread(lines.select(text, header).distinct())
-    first = pairs.join(resolve_texts(pairs, alias_index, code_index, text), text, "left")
+    shaped = with_shape(lines, alias_index, text)
+    pairs = _spread(shaped.select("_shape", header).distinct())
+    first = pairs.join(resolve_texts(pairs, alias_index, code_index, "_shape"), "_shape", "left")
     conflict = (header_brand(F.col(header)) != norm_key("brand"))
     ok = F.col("model_id").isNotNull() & ~F.coalesce(conflict, F.lit(False))
-    done = first.filter(ok).withColumn("parse_line", F.col(text))
+    first = cut_lineage(first.withColumn("_ok", ok))
+    done = first.filter("_ok").drop("_ok").withColumn("_headed", F.lit(False))
     open_ = (
-        first.filter(~ok & F.col(header).isNotNull()).select(text, header)
-        .withColumn("parse_line", clean_spaces(F.concat_ws(" ", header, text)))
+        first.filter(~F.col("_ok") & F.col(header).isNotNull()).select("_shape", header)
+        .withColumn("parse_line", _headed_line(header, "_shape"))
     )
     second = open_.join(resolve_texts(open_.select(F.col("parse_line")), alias_index, code_index, "parse_line"), "parse_line")
-    found = done.unionByName(second.select(*done.columns))
+    found = done.unionByName(second.withColumn("_headed", F.lit(True)).select(*done.columns))
     # other names: the pairs come from the lines themselves, and an unresolved line must keep its own text
-    found = found.withColumnsRenamed({text: "_text", header: "_header"})
-    return lines.join(found, F.col(text).eqNullSafe(F.col("_text")) & F.col(header).eqNullSafe(F.col("_header")), "left").drop("_text", "_header")
+    found = found.withColumnsRenamed({"_shape": "_found", header: "_header"})
+    out = shaped.join(found, F.col("_shape").eqNullSafe(F.col("_found")) & F.col(header).eqNullSafe(F.col("_header")), "left")
+    parse_line = F.when(F.col("_headed"), _headed_line(header, text)).when(~F.col("_headed"), F.col(text))
+    return out.withColumn("parse_line", parse_line).drop("_shape", "_found", "_header", "_headed")
+
+
+def _headed_line(header: str, text: str) -> Column:
+    return clean_spaces(F.concat_ws(" ", header, text))
 
 
 def build_offers(lines: DataFrame, alias_index: DataFrame, code_index: DataFrame | None = None,
@@ -441,9 +467,7 @@ def build_offers(lines: DataFrame, alias_index: DataFrame, code_index: DataFrame
     """Kept lines as offers: resolved model, attributes and price; unresolved lines keep NULL models."""
     resolved = resolve_with_header(lines, alias_index, code_index, text, header)
     line = F.coalesce("parse_line", text)
-    attrs = A.with_attributes(
-        resolved.withColumn("_line", line), "_line", cat="cat", brand="brand", series="series", model="model", phrases=phrases
-    )
+    attrs = _attributes(resolved.withColumn("_line", line), "_line", phrases=phrases)
     return attrs.withColumn("raw", F.col(text)).drop("_line")
 
 
@@ -457,7 +481,7 @@ def normalize_queries(queries: DataFrame, alias_index: DataFrame, code_index: Da
                       text: str = "text", catalog_rules: bool = True, how: str = "inner") -> DataFrame:
     """Sheet names or buyer lines to the attribute form offers and variants have."""
     resolved = resolve_models(queries, alias_index, code_index, text, how=how)
-    return A.with_attributes(resolved, text, cat="cat", brand="brand", series="series", model="model", catalog=catalog_rules)
+    return _attributes(resolved, text, catalog_rules)
 
 
 def resolve_sheet(sheet: DataFrame, alias_index: DataFrame, code_index: DataFrame | None = None) -> DataFrame:
