@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import attributes as A, money as M, text as T
+from ..functions import attributes as A, money as M, shapes as S, text as T
 from ..operators import catalog as C, match as J, phrases as PH, resolve as R, rollup
 from ..session import cut_lineage, spread
 from . import bindings as X
@@ -25,7 +25,8 @@ def money_extract(spark, d):
 @query("line_attributes", f"""SELECT {ID}, {X.PRICE} AS price, {E['true_storage']} AS storage, {E['true_color']} AS color, {E['true_ram']} AS ram, {X.REGION} AS region,
  CASE WHEN {E['cat']} = 'Планшеты' THEN 'LTE' END AS tablet FROM lineitem""".replace("'LTE' END AS tablet", "'Wi-Fi' END AS connectivity"))
 def line_attributes(spark, d):
-    df = A.with_attributes(X.offer_lines(spark, d), "text")
+    read = lambda t: A.with_attributes(t, "_shape").drop("price")
+    df = S.once_for_each(X.offer_lines(spark, d), {"_shape": S.line_shape("text")}, read).withColumn("price", M.extract_price("text"))
     return df.select(*KEYS, "price", "storage", "color", "ram", "region", "connectivity")
 
 
@@ -39,8 +40,9 @@ SIM_LINE = f"concat('iPhone ', CAST({GEN} AS VARCHAR(20)), ' 256GB Black', {SIM_
 def sim_default(spark, d):
     df = X.derived(spark, d, text=SIM_LINE, model=f"concat('iPhone ', CAST({GEN} AS VARCHAR(20)))").withColumns(
         {"cat": F.lit("Смартфоны"), "brand": F.lit("Apple"), "series": F.lit("iPhone")})
-    sim = A.default_sim(A.sim_of("text"), F.col("cat"), F.col("brand"), F.col("series"), F.col("model"), A.region_of("text"))
-    return df.select(*KEYS, sim.alias("sim"))
+    sim = A.default_sim(A.sim_of("_text"), F.col("_cat"), F.col("_brand"), F.col("_series"), F.col("_model"), A.region_of("_text"))
+    keys = {"_" + c: F.col(c) for c in ("text", "cat", "brand", "series", "model")}
+    return S.once_for_each(df, keys, lambda t: t.withColumn("sim", sim)).select(*KEYS, "sim")
 
 
 DEV = {
@@ -64,15 +66,23 @@ BOX_LINE = f"concat('PS5 slim ', {X._case('l_orderkey % 4', DEV['drive'])}, CASE
  {X._case('l_orderkey % 4', DEV['drive_out'])} AS drive, l_suppkey % 3 < 2 AS game FROM lineitem""")
 def device_attributes(spark, d):
     df = X.derived(spark, d, w=WATCH_LINE, p=PAD_LINE, a=POD_LINE, b=BOX_LINE)
-    ear = A.context_flags("a")["earphone"]
-    watch = A.context_flags("w")["watch"]
-    return df.select(
-        *KEYS, F.when(watch, A.band_type("w")).alias("band_type"), F.when(watch, A.band_size("w")).alias("band_size"), A.band_color("w").alias("band_color"),
-        A.screen_size("w", watch).alias("watch_mm"), A.connectivity_of("p").alias("connectivity"), A.chip_of("p").alias("chip"),
-        A.nano_glass("p").alias("nano_glass"), A.year_of("p").alias("year"),
-        A.screen_size("p", A.context_flags("p")["watch"], brand=F.lit("Apple")).alias("screen"),
-        F.when(ear, A.case_type("a")).alias("case_type"), F.when(ear & F.rlike("a", F.lit(A.P.NOISE_CANCEL)), F.lit("anc")).alias("anc"),
-        A.drive_of("b").alias("drive"), A.game_flag("b").alias("game"),
+    # Lines that differ in their price alone are read once.
+    return S.once_for_each(df, {"_w": S.line_shape("w"), "_p": F.col("p"), "_a": F.col("a"), "_b": F.col("b")}, _device_columns).select(*KEYS, *DEV_COLS)
+
+
+DEV_COLS = ["band_type", "band_size", "band_color", "watch_mm", "connectivity", "chip", "nano_glass", "year", "screen", "case_type", "anc", "drive", "game"]
+
+
+def _device_columns(t):
+    ear = A.context_flags("_a")["earphone"]
+    watch = A.context_flags("_w")["watch"]
+    return t.select(
+        "_w", "_p", "_a", "_b", F.when(watch, A.band_type("_w")).alias("band_type"), F.when(watch, A.band_size("_w")).alias("band_size"),
+        A.band_color("_w").alias("band_color"), A.screen_size("_w", watch).alias("watch_mm"), A.connectivity_of("_p").alias("connectivity"),
+        A.chip_of("_p").alias("chip"), A.nano_glass("_p").alias("nano_glass"), A.year_of("_p").alias("year"),
+        A.screen_size("_p", A.context_flags("_p")["watch"], brand=F.lit("Apple")).alias("screen"),
+        F.when(ear, A.case_type("_a")).alias("case_type"), F.when(ear & F.rlike("_a", F.lit(A.P.NOISE_CANCEL)), F.lit("anc")).alias("anc"),
+        A.drive_of("_b").alias("drive"), A.game_flag("_b").alias("game"),
     )
 
 
@@ -83,7 +93,7 @@ SERIAL = "concat('C02X', lpad(CAST(l_partkey AS VARCHAR(20)), 8, '0'))"
 @query("sku_extract", f"SELECT {ID}, {SKU} AS code FROM lineitem")
 def sku_extract(spark, d):
     df = X.derived(spark, d, text=f"concat('SM-X210B MacBook Air (M4, 16GB, 512GB) S25 ', {SKU}, ' 46mm 2024 - 95500')")
-    return df.select(*KEYS, A.sku_of("text").alias("code"))
+    return S.once_for_each(df, {"_text": F.col("text")}, lambda t: t.withColumn("code", A.sku_of("_text"))).select(*KEYS, "code")
 
 
 @query("serial_extract", f"SELECT {ID}, CASE l_linenumber % 3 WHEN 0 THEN {SERIAL} WHEN 1 THEN {SERIAL} ELSE lpad(CAST(l_orderkey AS VARCHAR), 15, '3') END AS serial FROM lineitem")
@@ -117,7 +127,8 @@ def line_context(spark, d):
 
 @query("model_remainder", f"SELECT {ID}, CASE {E['cat']} WHEN 'Планшеты' THEN concat({E['model']}, ' Wi-Fi') WHEN 'Ноутбуки' THEN concat({E['model']}, ' ( , )') ELSE {E['model']} END AS rest FROM lineitem")
 def model_remainder(spark, d):
-    return X.offer_lines(spark, d).select(*KEYS, A.model_remainder("text").alias("rest"))
+    lines = S.once_for_each(X.offer_lines(spark, d), {"_shape": S.line_shape("text", regions=False)}, lambda t: t.withColumn("rest", A.model_remainder("_shape")))
+    return lines.select(*KEYS, "rest")
 
 
 @query("title_keys", r"""SELECT variant_id, k AS title_key, regexp_replace(k, '\b\d{1,2}\s*/\s*(\d{2,4}\s*(?:gb|tb))\b', '\1', 'g') AS no_ram FROM (
@@ -150,7 +161,8 @@ def chat_ids(spark, d):
 @query("query_lines", f"SELECT {ID}, 1 AS line_no, {E['title']} AS line FROM lineitem UNION ALL SELECT {ID}, 2, {E['model']} FROM lineitem WHERE l_linenumber % 2 = 0")
 def query_lines(spark, d):
     q = X.derived(spark, d, text=f"concat('— Куплю ', {E['title']}, ' пожалуйста?', CASE WHEN l_linenumber % 2 = 0 THEN concat(chr(10), '• ищу ', {E['model']}, ' -> 15000') ELSE '' END)")
-    return q.select(*KEYS, F.posexplode(T.query_lines("text")).alias("p", "line")).select(*KEYS, (F.col("p") + 1).alias("line_no"), "line")
+    q = S.once_for_each(q, {"_text": F.col("text")}, lambda t: t.withColumn("lines", T.query_lines("_text")))
+    return q.select(*KEYS, F.posexplode("lines").alias("p", "line")).select(*KEYS, (F.col("p") + 1).alias("line_no"), "line")
 
 
 @query("normal_keys", f"""SELECT {ID}, trim(regexp_replace(lower({E['title']}), '[^a-z0-9 ]+', '', 'g')) AS key FROM lineitem""".replace("lower(" + E["title"] + ")", "regexp_replace(lower(" + E["title"] + "), '[-/ ]+', ' ', 'g')"))
