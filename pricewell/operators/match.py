@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import attributes as A, vocab as V
 from ..functions.lines import rx
 from ..functions.text import clean_spaces, norm_key, null_if_empty
+from ..session import cut_lineage
 
 # Equal in every category; NULL equals only NULL.
 STRICT_FIELDS = ["anc", "game", "nano_glass", "no_watches", "screen_size", "sim", "storage"]
@@ -144,6 +145,34 @@ def mismatch(v: str = "v", o: str = "o") -> Column:
     return reduce(lambda acc, r: acc.when(r[1], F.lit(r[0])), rules, case)
 
 
+# What the predicate reads beside the model.
+COMPARED = ["k_cat", "k_code", "code", "k_colors", "k_s25", "k_s25_ultra", "k_apple_watch", "k_canon", "k_families", "k_conn", "k_band_color", "anc", "band_size", "game",
+            "nano_glass", "no_watches", "ram", "screen_size", "sim", "storage", "chip", "watch_size_mm", "band_type", "drive"]
+
+
+def with_kind(prepared: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """``_kind``: equal for rows that the predicate (and ``more``) cannot tell apart, their models aside."""
+    return prepared.withColumn("_kind", F.md5(F.to_json(F.struct(*COMPARED, *(more or [])), {"ignoreNullFields": "false"})))
+
+
+def judge_kinds(pairs: DataFrame, left: DataFrame, right: DataFrame, reason: Column, more: list[str] | None = None) -> DataFrame:
+    """``pairs`` (_lk, _rk) of kinds under one model with the ``reason`` for sides l and r: the predicate runs once for each pair of kinds."""
+    cols = [*COMPARED, *(more or [])]
+    rows = lambda df: df.groupBy("_kind").agg(F.first(F.struct(*cols)).alias("_s")).select("_kind", "_s.*", F.lit("").alias("k_model"))
+    met = pairs.select("_lk", "_rk").distinct().alias("m")
+    return met.join(rows(left).alias("l"), F.col("l._kind") == F.col("m._lk")).join(rows(right).alias("r"), F.col("r._kind") == F.col("m._rk")).select(
+        "_lk", "_rk", reason.alias("reason"))
+
+
+def count_outcomes(variants: DataFrame, offers: DataFrame, by: list[str], n: str = "n") -> DataFrame:
+    """How many pairs of one model end with each outcome of the predicate, by columns of the variants; ``n`` counts equal offers."""
+    v, o = (cut_lineage(with_kind(prepare(df))) for df in (variants, offers))
+    left = v.groupBy(*by, "k_model", F.col("_kind").alias("_lk")).agg(F.count(F.lit(1)).alias("_v"))
+    right = o.groupBy("k_model", F.col("_kind").alias("_rk")).agg(F.sum(n).alias("_o"))
+    pairs = cut_lineage(left.join(right, "k_model").groupBy(*by, "_lk", "_rk").agg(F.sum(F.col("_v") * F.col("_o")).alias("n")))
+    return pairs.join(judge_kinds(pairs, v, o, mismatch("l", "r")), ["_lk", "_rk"]).groupBy(*by, "reason").agg(F.sum("n").alias("n"))
+
+
 def match_variants(variants: DataFrame, offers: DataFrame, keep_v: list[str], keep_o: list[str]) -> DataFrame:
     """Inner, many-to-many; an offer may serve several variants.
 
@@ -330,20 +359,28 @@ def answer_queries(queries: DataFrame, offers: DataFrame, query_key: list[str],
     Only offers of the same model or strong code are paired; offers of other
     models would all fail on 'model', so their number alone is enough.
     """
-    p, e = prepare(queries), prepare(offers)
+    more = ["color", "region"]
+    priced = F.coalesce(F.col("price") > 0, F.lit(False)).cast("int")
+    # the price of a kind says only whether there is one
+    p = cut_lineage(with_kind(prepare(queries), more))
+    e = cut_lineage(with_kind(prepare(offers).withColumn("_priced", priced), [*more, "_priced"]))
     total = offers.agg(F.count(F.lit(1)).alias("_total"))
-    cols = [*[F.col(f"p.{c}") for c in query_key], F.struct(*[F.col(f"e.{c}") for c in offer_cols]).alias("offer"),
-            F.col("e.price").cast("bigint").alias("_price"), F.coalesce(mismatch("e", "p"), hard_guard("p", "e")).alias("reason")]
-    by_model = p.alias("p").join(e.alias("e"), F.col("p.k_model") == F.col("e.k_model")).select(*cols)
+    offer, price = F.struct(*[F.col(c) for c in offer_cols]), F.col("price").cast("bigint")
+    kinds = e.groupBy("k_model", F.col("_kind").alias("_lk")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min_by(offer, price).alias("_offer"), F.min(price).alias("_price"))
+    met = cut_lineage(p.select("k_model", F.col("_kind").alias("_rk")).distinct().join(kinds, "k_model"))
+    sides = p.withColumn("price", F.lit(None).cast("int")), e.withColumn("price", F.col("_priced"))
+    judged = judge_kinds(met, sides[1], sides[0], F.coalesce(mismatch("l", "r"), hard_guard("r", "l")), [*more, "price"])
+    merged = [F.sum("_n").alias("_n"), F.min_by("_offer", "_price").alias("_offer"), F.min("_price").alias("_price")]
+    outcomes = met.join(judged, ["_lk", "_rk"]).groupBy("k_model", "_rk", "reason").agg(*merged)
+    by_model = p.select(*query_key, "k_model", F.col("_kind").alias("_rk")).join(outcomes, ["k_model", "_rk"]).select(*query_key, "reason", "_n", "_offer", "_price")
     by_code = (
         p.alias("p").filter(strong_code(F.col("k_code")))
         .join(e.alias("e"), (F.col("p.k_code") == F.col("e.k_code")) & ~F.col("p.k_model").eqNullSafe(F.col("e.k_model")))
-        .select(*cols)
-    )
-    tried = by_model.unionByName(by_code)
-    counts = tried.groupBy(*query_key, "reason").agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by("offer", "_price").alias("_offer")
+        .select(*[F.col(f"p.{c}") for c in query_key], F.coalesce(mismatch("e", "p"), hard_guard("p", "e")).alias("reason"), F.lit(1).cast("bigint").alias("_n"),
+                F.struct(*[F.col(f"e.{c}") for c in offer_cols]).alias("_offer"), F.col("e.price").cast("bigint").alias("_price"))
     )
+    counts = by_model.unionByName(by_code).groupBy(*query_key, "reason").agg(*merged)
     per_query = counts.groupBy(*query_key).agg(
         F.max(F.when(F.col("reason").isNull(), F.col("_offer"))).alias("offer"),
         F.sum("_n").alias("_seen"),

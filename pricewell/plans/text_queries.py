@@ -334,7 +334,7 @@ def unmatched_variants(spark, d):
     offers = cut_lineage(A.with_attributes(named, "text", cat="cat", brand="brand", series="series", model="model"))
     matches = J.match_variants(v, offers, ["variant_id"], ["text"])
     seen = J.with_candidates(v.select("variant_id", J.blocking_keys().alias("keys")), offers.select(J.blocking_keys().alias("keys")), ["variant_id"])
-    return J.unmatched_variants(v.select("variant_id"), seen, matches, ["variant_id"])
+    return J.unmatched_variants(X.text_catalog(spark, d).filter("trim(title) <> ''").select("variant_id"), seen, matches, ["variant_id"])
 
 
 @query("theta_match_nullsafe", f"""WITH o AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1),
@@ -344,10 +344,8 @@ def theta_match_nullsafe(spark, d):
     """Outcome of the predicate for all pairs of one model; equal offers are counted before pairing."""
     counts = X.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("variant_id")).agg(F.count(F.lit(1)).alias("n"))
     v = _variants(spark, d)
-    o = J.prepare(v.join(counts, "variant_id")).alias("o")
-    pairs = J.prepare(v).alias("v").join(o, F.col("v.k_model") == F.col("o.k_model"))
-    fam = (F.floor(F.col("v.variant_id") / 12) % 4).alias("fam")
-    return pairs.select(fam, J.mismatch().alias("reason"), "o.n").groupBy("fam", "reason").agg(F.sum("n").alias("n"))
+    fam = (F.floor(F.col("variant_id") / 12) % 4).alias("fam")
+    return J.count_outcomes(v.select("*", fam), v.join(counts, "variant_id"), ["fam"])
 
 
 COLORS = ["silver", "white", "starlight", "jet black", "black", "navy", "icy blue", "blue", "mint", "green", "red"]
