@@ -240,16 +240,20 @@ def color_families(colors: Column) -> Column:
 
 
 # -------------------------------------------------------------------- region
+def flagged_region(col) -> Column:
+    """Region of the first mapped flag."""
+    flag_map = lit_map(V.FLAG_REGION)
+    return F.try_element_at(
+        F.filter(F.transform(flags_of(col), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
+    )
+
+
 def region_of(col) -> Column:
     """First mapped flag, else the first country whose code is a token of the line."""
     raw = _c(col)
-    flag_map = lit_map(V.FLAG_REGION)
-    by_flag = F.try_element_at(
-        F.filter(F.transform(flags_of(raw), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
-    )
     toks = tokens(clean_text(raw))
     by_word = F.try_element_at(F.array_intersect(lit_array(list(V.REGION_CODES)), toks), F.lit(1))
-    return F.coalesce(by_flag, by_word)
+    return F.coalesce(flagged_region(raw), by_word)
 
 
 def regions_to_flags(codes: Column) -> Column:

@@ -15,7 +15,7 @@ from ..functions.money import extract_price
 from ..functions.text import (
     clean_spaces, clean_text, lit_array, lit_map, match_tokens, norm_key, strip_flags, title_head, tokens,
 )
-from ..functions.shapes import line_shape, numbers_of, once_for_each
+from ..functions.shapes import line_shape, names_watch, numbers_of, once_for_each
 from ..session import cut_lineage, spread_work
 
 MAX_NGRAM, MAX_TITLE_NGRAM = 8, 12
@@ -363,7 +363,8 @@ def resolve_texts(texts: DataFrame, alias_index: DataFrame, code_index: DataFram
     otherwise prunes the phrases with a runtime filter before the shuffle join.
     """
     best = lambda df: df.groupBy(text).agg(F.min_by("_m", "_rank").alias("_m")).select(text, "_m.*")
-    distinct = _spread(texts.select(text).distinct())
+    # read by every stage; making it reads all lines
+    distinct = _spread(cut_lineage(texts.select(text).distinct()))
     first = _stage(distinct, alias_index, text, "first")
     if code_index is not None:
         first = first.unionByName(_by_code(distinct, code_index, text))
@@ -383,18 +384,58 @@ def resolve_models(lines: DataFrame, alias_index: DataFrame, code_index: DataFra
     return shaped.join(found, "_shape", how).drop("_shape")
 
 
-def with_shape(lines: DataFrame, alias_index: DataFrame, text: str = "text") -> DataFrame:
-    """Lines with ``_shape``, which resolves as the line itself does."""
+def with_shape(lines: DataFrame, alias_index: DataFrame, text: str = "text", context: Column | None = None) -> DataFrame:
+    """Lines with ``_shape``, which resolves as the line itself does, behind a header (``context``) too."""
     taken = numbers_of(alias_index)
-    return lines.crossJoin(F.broadcast(taken)).withColumn("_shape", line_shape(text, F.col("_taken"), regions=False, diagonals=True)).drop("_taken")
+    return lines.crossJoin(F.broadcast(taken)).withColumn("_shape", line_shape(text, F.col("_taken"), regions=False, diagonals=True, context=context)).drop("_taken")
+
+
+_CONTEXT = ["cat", "brand", "series", "model"]
+
+
+def _read_shapes(shapes: DataFrame, context: list[str], catalog: bool, phrases: tuple | None = None) -> DataFrame:
+    """Attribute columns of shapes without flags, and what the SIM type of a region is told from."""
+    cat, brand, series, model = context
+    out = A.with_attributes(shapes, "_shape", cat=cat, brand=brand, series=series, model=model, catalog=catalog, phrases=phrases).drop("price")
+    return out.withColumns({"_said_sim": A.sim_of("_shape"), "_tablet": A.context_flags("_shape", *context)["tablet"]})
+
+
+def _of_flags(rows: DataFrame, flagged: Column) -> DataFrame:
+    """Region and SIM type once the flags behind the price, which a shape lacks, are known."""
+    sim = F.when(~F.col("_tablet"), A.default_sim(F.col("_said_sim"), *[F.col(c) for c in _CONTEXT], flagged))
+    return rows.withColumn("sim", F.when(flagged.isNotNull(), sim).otherwise(F.col("sim"))).withColumn("region", F.coalesce(flagged, "region")).drop("_said_sim", "_tablet")
 
 
 def _attributes(rows: DataFrame, text: str, catalog: bool = False, phrases: tuple | None = None) -> DataFrame:
-    """Attribute columns of resolved lines: once for each shape and model, the price from the line itself."""
-    keys = {"_shape": line_shape(text), **{"_k_" + c: F.col(c) for c in ("cat", "brand", "series", "model")}}
-    read = lambda d: A.with_attributes(d, "_shape", cat="_k_cat", brand="_k_brand", series="_k_series", model="_k_model",
-                                       catalog=catalog, phrases=phrases).drop("price")
-    return once_for_each(rows, keys, read).withColumn("price", extract_price(text))
+    """Attribute columns of resolved lines: once for each shape and model, price and flags from the line itself."""
+    shape = line_shape(text, regions=False, context=F.concat_ws(" ", *_CONTEXT))
+    keys = {"_shape": shape, **{"_k_" + c: F.col(c) for c in _CONTEXT}}
+    read = once_for_each(rows, keys, lambda d: _read_shapes(d, ["_k_" + c for c in _CONTEXT], catalog, phrases))
+    return _of_flags(read, A.flagged_region(text)).withColumn("price", extract_price(text))
+
+
+def normalize_kinds(lines: DataFrame, alias_index: DataFrame, code_index: DataFrame | None = None, text: str = "text",
+                    catalog_rules: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(lines with ``_kind``, kinds in attribute form): lines of one kind differ in their price alone; those without a model have no kind in the second."""
+    marked = with_shape(lines, alias_index, text).withColumn("_flagged", A.flagged_region(text))
+    kinds, found = _resolved_kinds(marked, alias_index, code_index)
+    # The model may say watch where the line does not: such lines keep the sizes in their prices.
+    context = F.concat_ws(" ", *_CONTEXT)
+    watches = found.filter(names_watch(context)).select("_shape", context.alias("_context"))
+    if not watches.isEmpty():
+        kept = marked.withColumnRenamed("_shape", "_before").join(watches.withColumnRenamed("_shape", "_before"), "_before", "left")
+        marked = with_shape(kept, alias_index, text, F.col("_context")).drop("_before", "_context")
+        kinds, found = _resolved_kinds(marked, alias_index, code_index)
+    read = cut_lineage(_read_shapes(_spread(found), _CONTEXT, catalog_rules))
+    kind = F.concat_ws("\n", "_shape", "_flagged")
+    full = _of_flags(read.join(kinds, "_shape").withColumn("_kind", kind), F.col("_flagged")).drop("_shape", "_flagged")
+    return marked.withColumn("_kind", kind).drop("_shape", "_flagged"), cut_lineage(full)
+
+
+def _resolved_kinds(marked: DataFrame, alias_index: DataFrame, code_index: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Distinct (shape, flags) of lines, and the model of each shape."""
+    kinds = cut_lineage(marked.select("_shape", "_flagged").distinct())
+    return kinds, cut_lineage(resolve_texts(kinds.select("_shape"), alias_index, code_index, "_shape"))
 
 
 def resolve_strict(lines: DataFrame, alias_index: DataFrame, text: str = "text") -> DataFrame:
@@ -438,8 +479,8 @@ def resolve_with_header(lines: DataFrame, alias_index: DataFrame, code_index: Da
     A match whose brand contradicts the header's brand is void.  Both passes work on
     distinct pairs of a line's shape and its header, so copies and prices cost nothing.
     """
-    shaped = with_shape(lines, alias_index, text)
-    pairs = _spread(shaped.select("_shape", header).distinct())
+    shaped = with_shape(lines, alias_index, text, F.col(header))
+    pairs = _spread(cut_lineage(shaped.select("_shape", header).distinct()))
     first = pairs.join(resolve_texts(pairs, alias_index, code_index, "_shape"), "_shape", "left")
     conflict = (header_brand(F.col(header)) != norm_key("brand"))
     ok = F.col("model_id").isNotNull() & ~F.coalesce(conflict, F.lit(False))
