@@ -282,10 +282,8 @@ _ATTRS = ["cat", "brand", "series", "model", "storage", "ram", "color", "color_1
 
 
 def _offers_from_text(spark, d, index=None):
-    """Distinct line texts go through resolution and extraction once, then back to their rows."""
-    lines = X.offer_lines(spark, d)
-    texts = R._spread(lines.select("text").distinct())
-    return lines, cut_lineage(R.normalize_queries(texts, index or _index(spark, d), catalog_rules=False))
+    """(lines with their kind, kinds in attribute form): a kind is resolved and read once, whatever number of lines and prices it has."""
+    return R.normalize_kinds(X.offer_lines(spark, d), index or _index(spark, d), catalog_rules=False)
 
 
 def _variants(spark, d):
@@ -300,9 +298,9 @@ win AS (SELECT variant_id, string_agg(DISTINCT channel, ',' ORDER BY channel) AS
 @query("match_from_text", f"WITH {FROM_TEXT_SQL} SELECT variant_id, CAST(min_price AS BIGINT) AS min_price, n_offers, best_channels FROM mn JOIN win USING (variant_id)")
 def match_from_text(spark, d):
     """Price lines to best price per catalogue variant, from the text alone."""
-    lines, texts = _offers_from_text(spark, d)
-    pairs = J.match_variants(_variants(spark, d), texts, ["variant_id"], ["text", "price"])
-    offers = lines.select("text", "channel").join(pairs, "text")
+    lines, kinds = _offers_from_text(spark, d)
+    pairs = J.match_variants(_variants(spark, d), kinds, ["variant_id"], ["_kind"])
+    offers = lines.select("_kind", "channel", M.extract_price("text").alias("price")).join(pairs, "_kind")
     best = J.best_price(offers, ["variant_id"])
     return best.select("variant_id", F.col("min_price").cast("bigint").alias("min_price"), "n_offers", F.array_join("best_channels", ",").alias("best_channels"))
 
@@ -310,10 +308,12 @@ def match_from_text(spark, d):
 @query("blocking_candidates", f"""WITH o AS (SELECT CAST(floor(l_partkey / 12) AS BIGINT) AS g, count(DISTINCT {X.LINE}) AS n FROM lineitem GROUP BY 1)
 SELECT p_partkey AS variant_id, n AS n_candidates FROM part JOIN o ON g = CAST(floor(p_partkey / 12) AS BIGINT)""")
 def blocking_candidates(spark, d):
-    lines, texts = _offers_from_text(spark, d)
+    lines, kinds = _offers_from_text(spark, d)
     v = _variants(spark, d).select("variant_id", J.blocking_keys().alias("keys"))
-    o = texts.select("text", J.blocking_keys().alias("keys"))
-    return J.candidate_pairs(v, o, ["variant_id"], ["text"]).groupBy("variant_id").agg(F.count(F.lit(1)).alias("n_candidates"))
+    # texts of equal keys are counted before they meet a variant
+    texts = lines.select("_kind", "text").distinct().groupBy("_kind").agg(F.count(F.lit(1)).alias("n"))
+    o = kinds.select("_kind", J.blocking_keys().alias("keys")).join(texts, "_kind").groupBy("keys").agg(F.sum("n").alias("n"))
+    return J.candidate_pairs(v, o, ["variant_id"], ["n"]).groupBy("variant_id").agg(F.sum("n").alias("n_candidates"))
 
 
 # Every fifth model is offered under another name; two variants of each model in a colour the catalogue does not have.
@@ -374,11 +374,11 @@ SELECT p_partkey + 2 AS row_no, min(price) AS min_price, arg_min(channel, (price
 def sheet_match(spark, d):
     """A price sheet of raw names, resolved and filled with the best offers."""
     index = _index(spark, d)
-    lines, texts = _offers_from_text(spark, d, index)
+    lines, kinds = _offers_from_text(spark, d, index)
     sheet = X.text_catalog(spark, d).select((F.col("variant_id") + 2).alias("row_no"), F.concat(F.col("title"), F.lit(" (Global)")).alias("name"))
     rows = cut_lineage(R.resolve_sheet(sheet, index))
-    pairs = J.match_variants(rows, texts, ["row_no"], ["text", "price"])
-    matches = lines.select("text", "channel", "seq").join(pairs, "text").withColumnRenamed("text", "raw")
+    pairs = J.match_variants(rows, kinds, ["row_no"], ["_kind"])
+    matches = lines.select("_kind", F.col("text").alias("raw"), "channel", "seq", M.extract_price("text").alias("price")).join(pairs, "_kind")
     return J.sheet_best(rows.select("row_no"), matches).select("row_no", "min_price", "best_channel", "n_offers")
 
 
