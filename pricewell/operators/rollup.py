@@ -17,13 +17,11 @@ def regions_at_min(offers: DataFrame, key: list[str], best: DataFrame, own_regio
     gathered list is no longer than the region vocabulary.
     """
     at_min = offers.join(best.select(*key, "min_price"), key).filter(F.col("price") == F.col("min_price"))
-    firsts = (
-        at_min.withColumn("_r", region_of("raw")).filter("_r IS NOT NULL")
-        .groupBy(*key, "_r").agg(F.min("seq").alias("_seq"))
-    )
-    lists = firsts.groupBy(*key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_seq", "_r"))), lambda x: x["_r"]).alias("_regions")
-    )
+    # no filter on the region: it would move in front of the join and read every line
+    firsts = at_min.groupBy(*key, region_of("raw").alias("_r")).agg(F.min("seq").alias("_seq"))
+    found = F.collect_list(F.when(F.col("_r").isNotNull(), F.struct("_seq", "_r")))
+    lists = firsts.groupBy(*key).agg(F.transform(F.array_sort(found), lambda x: x["_r"]).alias("_regions"))
+    lists = lists.withColumn("_regions", F.when(F.size("_regions") > 0, F.col("_regions")))
     out = best.join(lists, key, "left")
     own = F.array_compact(F.array(F.col(own_region))) if own_region else F.array().cast("array<string>")
     return out.withColumn("region_min", F.coalesce("_regions", own)).drop("_regions")

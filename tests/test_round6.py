@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricewell.functions import shapes as S
-from pricewell.operators import catalog as C, resolve as R
+from pricewell.operators import catalog as C, resolve as R, rollup
 from pricewell.plans import device_queries as D
 
 HEADS = ["iPhone 17 Pro 256GB Black", "17 pro 256", "aw u2 black", "u2 49", "Ultra 3 black", "watch SE", "AW S11 46 black", "S11 42mm jet black", "Series 11", "Galaxy S25 Ultra 12/256", "S25",
@@ -42,3 +42,13 @@ def test_kinds_read_like_lines(spark):
     shaped = R.with_shape(headed, index, "text", F.col("header")).select(R._headed_line("header", "text").alias("t"), R._headed_line("header", "_shape").alias("s"))
     by_shape = shaped.join(R.resolve_texts(shaped.select("s"), index, text="s"), "s").select("t", "model")
     assert plain.exceptAll(by_shape).take(3) == [] and by_shape.exceptAll(plain).take(3) == []
+
+
+def test_regions_are_read_at_the_lowest_price_alone(spark):
+    rows = [(1, 5.0, "a 🇺🇸", 2), (1, 5.0, "a 🇯🇵", 1), (1, 9.0, "a 🇪🇺", 0), (2, 3.0, "b", 0), (2, 4.0, "b 🇺🇸", 1)]
+    offers = spark.createDataFrame(rows, "k int, price double, raw string, seq int").localCheckpoint()
+    best = offers.groupBy("k").agg(F.min("price").alias("min_price")).withColumn("own", F.lit("ru"))
+    got = rollup.regions_at_min(offers, ["k"], best, "own")
+    assert {r.k: r.region_min for r in got.collect()} == {1: ["jp", "us"], 2: ["ru"]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "1F1E6" in line]
