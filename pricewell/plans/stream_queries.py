@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
+from ..functions import shapes as SH, text as T
 from ..operators import catalog as C
 from ..session import shared_dir, spread
 from ..sources import sinks as S
@@ -28,7 +28,9 @@ CLASS = "CASE l_orderkey % 11 " + " ".join(f"WHEN {i} THEN " + (BY_BRAND if c ==
 @query("classify_messages", f"SELECT {ID}, {CLASS} AS msg_class FROM lineitem")
 def classify_messages(spark, d):
     m = X.derived(spark, d, text=MSG)
-    return Q.classify_messages(m).select("channel", "message_id", "part_no", "msg_class")
+    # Copies of a text have one class.
+    classed = SH.once_for_each(m, {"_text": F.col("text")}, lambda t: Q.classify_messages(t, "_text"))
+    return classed.select("channel", "message_id", "part_no", "msg_class")
 
 
 # The class of each user turn; also part of the SQL of the answering stream.

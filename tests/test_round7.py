@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from pricewell.functions import attributes as A
 from pricewell.operators import catalog as C, resolve as R
 from pricewell.plans import bindings as X
@@ -90,3 +91,9 @@ def test_columns_are_built_once(spark):
     rows = spark.createDataFrame([("Galaxy S25 128GB Black", "iPhone 17 256GB White")], "a string, b string")
     for t, want in (("a", "Black"), ("b", "White"), ("a", "Black")):
         assert A.with_attributes(rows, t).first().color == want
+
+
+def test_copies_of_a_message_are_classified_once(spark):
+    """The patterns stand behind the grouping of the texts, in the stored part of the plan."""
+    plan = E.queries()["classify_messages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "Join" in plan
