@@ -52,6 +52,13 @@ def phrase_hits(texts: DataFrame, phrases: DataFrame, key: str, text: str = "tex
     # A token that no text has makes its phrase hopeless; of the others the rarest decides.
     rated = words.join(often, "_token", "left").groupBy(phrase_key, "_phrase").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("token"))).alias("_r"))
     seeds = rated.filter("_r.n > 0").select(phrase_key, "_phrase", F.col("_r.token").alias("_token"))
-    met = held.join(seeds, "_token").select(key, phrase_key, phrase_pattern(F.col("_phrase")).alias("_pattern"))
-    found = met.join(texts.select(key, F.lower(text).alias("_text")), key).filter(F.expr("_text rlike _pattern"))
+    met = held.join(seeds, "_token").select(key, phrase_key, evened(F.col("_phrase")).alias("_words"), phrase_pattern(F.col("_phrase")).alias("_pattern"))
+    # A pattern is compiled for each pair, so it runs only where the words stand side by side.
+    lowered = texts.select(key, F.lower(text).alias("_text"), evened(F.col(text)).alias("_even"))
+    found = met.join(lowered, key).filter(F.when(F.contains("_even", "_words"), F.expr("_text rlike _pattern")).otherwise(F.lit(False)))
     return found.select(key, phrase_key)
+
+
+def evened(text: Column) -> Column:
+    """Lower case, one space for each run of what may stand for a space of a phrase: a text that holds a phrase holds its evened words."""
+    return F.regexp_replace(F.lower(text), r"[\s._-]+", " ")

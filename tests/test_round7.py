@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from pricewell.functions import attributes as A
-from pricewell.operators import catalog as C, resolve as R
+from pricewell.functions.text import phrase_pattern
+from pricewell.operators import catalog as C, phrases as PH, resolve as R
 from pricewell.plans import bindings as X
 from pricewell.streaming import dialog as D
 
@@ -97,3 +98,18 @@ def test_copies_of_a_message_are_classified_once(spark):
     """The patterns stand behind the grouping of the texts, in the stored part of the plan."""
     plan = E.queries()["classify_messages"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" not in plan.upper() and "Join" in plan
+
+
+def test_phrases_by_plain_looks_and_by_pattern(spark):
+    """The pattern decides, whatever the looks before it say; it runs only where they leave a pair open."""
+    phrases = ["one two", "a.b c", "-x y", "one  two three", "zwei drei", "ärger im", "e"]
+    texts = ["one two", "xone two", "one twos, one-two!", "ONE._- two", "a b c", "a.b_c", "a.b c1 a.b  c", "q -x y", "q-x.y", "x y", "one\ttwo\n three", "Zwei", "zwei dreißig", "Ärger im", "bärger imx ärger  im.",
+             "one two1 one two", "e", "ée e", None, "eé", "drei zwei"]
+    t = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    p = spark.createDataFrame(list(enumerate(phrases)), "phrase_id int, phrase string")
+    got = {tuple(r) for r in PH.phrase_hits(t, p, "k").collect()}
+    every = t.crossJoin(p.withColumn("_p", phrase_pattern(F.col("phrase")))).filter("lower(text) rlike _p").select("k", "phrase_id")
+    want = {tuple(r) for r in every.collect()}
+    assert got == want and len(want) > 12
+    plan = PH.phrase_hits(t, p, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" in plan
