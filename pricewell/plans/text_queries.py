@@ -245,9 +245,12 @@ def header_resolution(spark, d):
     return R.resolve_with_header(lines, _index(spark, d)).select(*KEYS, "model")
 
 
-# Every model has a seller's code; the line names nothing else.
+# Every model has a seller's code of its own; the line names nothing else.  Codes have four digits, so three letters count the ten thousands.
 def _code(key: str) -> str:
-    return f"concat('MQ', lpad(CAST(CAST(floor({key} / {X.VARIANTS_PER_MODEL}) AS BIGINT) AS VARCHAR(20)), 4, '0'), 'A')"
+    group = f"CAST(floor({key} / {X.VARIANTS_PER_MODEL}) AS BIGINT)"
+    letter = lambda n, first: f"chr(CAST(65 + (floor({group} / {10000 * 26 ** n}) + {first}) % 26 AS INT))"
+    digits = f"lpad(CAST({group} % 10000 AS VARCHAR(20)), 4, '0')"
+    return f"concat({letter(2, 12)}, {letter(1, 16)}, {digits}, {letter(0, 0)})"
 
 
 @query("code_resolve", f"SELECT {ID}, {E['model']} AS model FROM lineitem")
