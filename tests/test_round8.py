@@ -1,9 +1,11 @@
-"""Codes of large catalogues are distinct."""
+"""Codes of large catalogues are distinct; a message no rule decides is looked up in the catalogue."""
 
 from pyspark.sql import functions as F
 
 from pricewell.functions import attributes as A
-from pricewell.plans import text_queries as TQ
+from pricewell.operators import catalog as C
+from pricewell.plans import bindings as X, text_queries as TQ
+from pricewell.streaming import answer as Q
 
 
 def test_every_model_has_its_own_code(spark):
@@ -14,3 +16,17 @@ def test_every_model_has_its_own_code(spark):
     assert codes.filter("k = 12000").first().code == "MQ1000A" and codes.filter("k = 120000").first().code == "MQ0000B"
     read = codes.withColumn("sku", F.upper(A.sku_of(F.concat("code", F.lit(" - 64 307")))))
     assert read.filter("sku IS NULL OR sku <> code").count() == 0
+
+
+def test_undecided_messages_are_looked_up(spark):
+    """A text without a hint is a product only if the catalogue knows it; prices on two lines are many prices."""
+    catalog = X.text_catalog(spark, "/root/testdata/sf0.001").filter("variant_id < 24")
+    index = C.build_alias_index(catalog).localCheckpoint()
+    title = catalog.filter("variant_id = 13").first().title
+    want = {title: "product", f"{title} - 64 307": "product", f"есть\n{title}": "product", "Galaxy Tab 128GB": "spam", "привет": "spam", None: "spam", "Redmi": "product", f"Продам {title}": "spam",
+            "xbox $1000\n$5": "spam", "xbox $1000": "product"}
+    rows = spark.createDataFrame([(t,) for t in want] * 2, "text string")
+    got = Q.classify_messages(rows, alias_index=index).collect()
+    assert len(got) == 2 * len(want) and {r.text: r.msg_class for r in got} == want
+    alone = {r.text: r.msg_class for r in Q.classify_messages(rows).collect()}
+    assert alone == {**want, title: "spam", f"{title} - 64 307": "spam", f"есть\n{title}": "spam"}
