@@ -248,7 +248,8 @@ def candidate_pairs(variants: DataFrame, offers: DataFrame, variant_cols: list[s
     """Pairs sharing a key, each once: a pair counts only under its first common key.
 
     With ``salts`` > 1 the offers of a key are spread over that many tasks and the
-    (small) variant side is repeated.
+    (small) variant side is repeated.  Spark's estimate takes a row with its keys
+    for a few bytes, so it is told not to send the variants through the driver.
     """
     v = variants.select(*variant_cols, F.col(keys).alias("_vk"), F.explode(keys).alias("_k"))
     o = offers.select(*offer_cols, F.col(keys).alias("_ok"), F.explode(keys).alias("_k"))
@@ -258,7 +259,7 @@ def candidate_pairs(variants: DataFrame, offers: DataFrame, variant_cols: list[s
         o = o.withColumn("_s", F.pmod(F.xxhash64(*offer_cols), F.lit(salts)).cast("int"))
         on.append("_s")
     return (
-        v.join(o, on)
+        v.hint("merge").join(o, on)
         .filter(F.element_at(F.array_intersect("_vk", "_ok"), 1) == F.col("_k"))
         .select(*variant_cols, *offer_cols)
     )

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pricewell.functions import attributes as A
-from pricewell.operators import catalog as C
+from pricewell.operators import catalog as C, match as J
 from pricewell.plans import bindings as X, text_queries as TQ
 from pricewell.streaming import answer as Q
 
@@ -30,3 +30,12 @@ def test_undecided_messages_are_looked_up(spark):
     assert len(got) == 2 * len(want) and {r.text: r.msg_class for r in got} == want
     alone = {r.text: r.msg_class for r in Q.classify_messages(rows).collect()}
     assert alone == {**want, title: "spam", f"{title} - 64 307": "spam", f"есть\n{title}": "spam"}
+
+
+def test_variants_with_keys_are_not_broadcast(spark):
+    """A row with its keys is estimated at a few bytes, so a large catalogue looked small enough for the driver."""
+    v = spark.createDataFrame([(i, [f"model:{i // 2}", f"model:_default:{i // 2}"]) for i in range(8)], "variant_id int, keys array<string>")
+    o = spark.createDataFrame([(5, ["model:1", "model:_default:1"]), (7, ["model:_default:3"])], "n int, keys array<string>")
+    pairs = J.candidate_pairs(v, o, ["variant_id"], ["n"])
+    assert {tuple(r) for r in pairs.collect()} == {(2, 5), (3, 5), (6, 7), (7, 7)} and pairs.count() == 4
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
