@@ -242,11 +242,10 @@ def color_families(colors: Column) -> Column:
 
 # -------------------------------------------------------------------- region
 def flagged_region(col) -> Column:
-    """Region of the first mapped flag."""
-    flag_map = lit_map(V.FLAG_REGION)
-    return F.try_element_at(
-        F.filter(F.transform(flags_of(col), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull()), F.lit(1)
-    )
+    """Region of the first mapped flag, which mostly is the first flag there is."""
+    flag_map, first = lit_map(V.FLAG_REGION), F.regexp_extract(_c(col), P.FLAG, 0)
+    mapped = F.filter(F.transform(flags_of(col), lambda f: F.try_element_at(flag_map, f)), lambda r: r.isNotNull())
+    return F.when(first != "", F.coalesce(F.try_element_at(flag_map, first), F.try_element_at(mapped, F.lit(1))))
 
 
 def region_of(col) -> Column:

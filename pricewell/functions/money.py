@@ -23,8 +23,13 @@ def _is_amount(tok: Column) -> Column:
 
 
 def extract_price(col) -> Column:
-    """Last amount of the line, else a trailing `` - 15`` read as thousands."""
+    """Last amount of the line, else a trailing `` - 15`` read as thousands.  Most lines close with their amount, which one look tells."""
     c = _c(col)
+    tail = F.substring_index(c, " - ", -1)
+    return F.when(rx(tail, P.CLOSING), _digits(tail)).otherwise(_any_price(c))
+
+
+def _any_price(c: Column) -> Column:
     # "17 256 84 500" is a memory pair followed by a price, not one long number
     c = F.regexp_replace(c, r"(?<!\d)([1-9]|[12]\d|30) (128|256|512) (?=\d{2,3} \d{3}(?!\d))", "$1 $2GB ")
     amounts = F.filter(F.regexp_extract_all(c, F.lit(P.MONEY), F.lit(1)), _is_amount)
